@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from shelfscan.operators import requests as rq
 
 from . import query
-from .views import micros, request_events, requests, samples, with_views
+from .views import micros, request_events, requests, rolled_samples, samples, with_views
 
 NOW = "2024-01-31 00:00:00"
 MINUTES = 15 * 24 * 60
@@ -135,27 +135,9 @@ def _(spark, sf):
     return rq.errors_by_type(requests(spark, sf), ["host"])
 
 
-@query("q10_rolling_sample", with_views("""
-with rolled as (select host, end_us, request_id,
-    sum(duration_us) over w10 / count(*) over w10 / 1000 as response_time_ms,
-    count(*) filter (success) over w50 / count(*) over w50 * 100 as success_rate
-  from requests
-  window w10 as (partition by host order by end_us, request_id rows between 9 preceding and current row),
-         w50 as (partition by host order by end_us, request_id rows between 49 preceding and current row)),
-merged as (select host, ts_us, 1 as kind, sample_id as id, memory_usage_mb, cpu_percent,
-    null::double as response_time_ms, null::double as success_rate from samples
-  union all select host, end_us, 0, request_id, null, null, response_time_ms, success_rate from rolled),
-filled as (select *, last_value(response_time_ms ignore nulls) over w as rt,
-    last_value(success_rate ignore nulls) over w as sr
-  from merged window w as (partition by host order by ts_us, kind, id rows unbounded preceding))
-select id as sample_id, host, ts_us, cast(memory_usage_mb as double) as memory_usage_mb, cpu_percent,
-  coalesce(rt, 0) as response_time_ms, coalesce(sr, 100) as success_rate
-from filled where kind = 1""", "requests", "samples"))
+@query("q10_rolling_sample", with_views("select * from rolled_samples", "rolled_samples"))
 def _(spark, sf):
-    out = rq.rolling_sample(
-        samples(spark, sf), requests(spark, sf), ["host"], "sample_id", "request_id"
-    )
-    return out.select(
+    return rolled_samples(spark, sf).select(
         "sample_id", "host", micros("ts").alias("ts_us"),
         F.col("memory_usage_mb").cast("double").alias("memory_usage_mb"),
         "cpu_percent", "response_time_ms", "success_rate",

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfscan.operators.ordered import join_keys
+from shelfscan.operators.requests import latest_sample, requests_from, rolling_sample
 from shelfscan.session import apply_settings
 
 
@@ -87,6 +89,33 @@ def attempts(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def rolled_samples(spark: SparkSession, sf: str) -> DataFrame:
+    """Samples with the rolling request state of their host."""
+    return rolling_sample(
+        samples(spark, sf), requests(spark, sf), ["host"], "sample_id", "request_id"
+    )
+
+
+def day_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """Request and process figures per host and day, one health-check window each."""
+    day = F.floor(F.unix_micros(F.col("start_time")) / F.lit(86_400_000_000)).cast("bigint")
+    req = requests_from(requests(spark, sf)).groupBy("host", day.alias("day")).agg(
+        F.count("*").alias("total"),
+        F.count_if(~F.col("success")).alias("failed"),
+        (F.count_if("success") / F.count("*") * 100).alias("success_rate_percent"),
+        (F.sum("duration_us") / F.count("*") / 1000).alias("avg_response_time_ms"),
+    )
+    smp = latest_sample(
+        samples(spark, sf).withColumn(
+            "day", F.floor(F.unix_micros(F.col("ts")) / F.lit(86_400_000_000)).cast("bigint")
+        ),
+        ["host", "day"], ["ts", "sample_id"],
+    )
+    return join_keys(req, smp.drop("sample_id", "ts"), ["host", "day"], "left").withColumn(
+        "memory_usage_mb", F.col("memory_usage_mb").cast("double")
+    )
+
+
 _DK = "cast(regexp_extract(props,'[0-9]+',0) as bigint)"
 
 SQL: dict[str, str] = {
@@ -120,8 +149,37 @@ SQL: dict[str, str] = {
             when 2 then 404 when 3 then 503 end end as status_code,
         case {_DK} % 4 when 0 then 'default' when 1 then 'network' when 2 then 'rate_limit' else 'gentle' end as policy
         from events)""",
+    "rolled_samples": """rolled as (select host, end_us, request_id,
+    sum(duration_us) over w10 / count(*) over w10 / 1000 as response_time_ms,
+    count(*) filter (success) over w50 / count(*) over w50 * 100 as success_rate
+  from requests
+  window w10 as (partition by host order by end_us, request_id rows between 9 preceding and current row),
+         w50 as (partition by host order by end_us, request_id rows between 49 preceding and current row)),
+merged as (select host, ts_us, 1 as kind, sample_id as id, memory_usage_mb, cpu_percent,
+    null::double as response_time_ms, null::double as success_rate from samples
+  union all select host, end_us, 0, request_id, null, null, response_time_ms, success_rate from rolled),
+filled as (select *, last_value(response_time_ms ignore nulls) over w as rt,
+    last_value(success_rate ignore nulls) over w as sr
+  from merged window w as (partition by host order by ts_us, kind, id rows unbounded preceding)),
+rolled_samples as (select id as sample_id, host, ts_us, cast(memory_usage_mb as double) as memory_usage_mb, cpu_percent,
+  coalesce(rt, 0) as response_time_ms, coalesce(sr, 100) as success_rate
+from filled where kind = 1)""",
+    "day_stats": """day_requests as (select host, start_us // 86400000000 as day, count(*) as total,
+        count(*) filter (not success) as failed,
+        count(*) filter (success) / count(*) * 100 as success_rate_percent,
+        sum(duration_us) / count(*) / 1000 as avg_response_time_ms
+      from requests group by 1, 2),
+    day_samples as (select * from (select *, ts_us // 86400000000 as day from samples)
+      qualify row_number() over (partition by host, day order by ts_us desc, sample_id desc) = 1),
+    day_stats as (select r.*, cast(s.memory_usage_mb as double) as memory_usage_mb, s.cpu_percent,
+        s.open_files
+      from day_requests r left join day_samples s on r.host = s.host and r.day = s.day)""",
+}
+_NEEDS = {
+    "request_events": ["requests"],
+    "rolled_samples": ["requests", "samples"],
+    "day_stats": ["requests", "samples"],
 }
-_NEEDS = {"request_events": ["requests"]}
 
 
 def with_views(body: str, *names: str, recursive: bool = False) -> str:
