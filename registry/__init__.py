@@ -25,4 +25,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load_all() -> None:
-    from . import health, requests, retry  # noqa: F401
+    from . import health, pages, requests, retry  # noqa: F401

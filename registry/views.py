@@ -15,6 +15,15 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores when the file gives fewer partitions than there are; else unchanged.
+
+    Applied to the compact rows the pages are rendered from, never to html.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def micros(c: str) -> F.Column:
     return F.unix_micros(F.col(c))
 
@@ -116,6 +125,8 @@ def day_stats(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+from .rendered import ID_SQL, LISTING_SQL  # noqa: E402  (rendered pages read tables from here)
+
 _DK = "cast(regexp_extract(props,'[0-9]+',0) as bigint)"
 
 SQL: dict[str, str] = {
@@ -175,7 +186,12 @@ from filled where kind = 1)""",
         s.open_files
       from day_requests r left join day_samples s on r.host = s.host and r.day = s.day)""",
 }
+SQL.update(LISTING_SQL)
+SQL.update(ID_SQL)
 _NEEDS = {
+    "listing_products": ["listing_pages"],
+    "id_all_cards": ["id_pages"],
+    "id_products": ["id_pages", "id_all_cards"],
     "request_events": ["requests"],
     "rolled_samples": ["requests", "samples"],
     "day_stats": ["requests", "samples"],

@@ -8,6 +8,7 @@ from __future__ import annotations
 import os
 import sys
 import time
+from collections import Counter
 from decimal import Decimal
 
 import duckdb
@@ -54,9 +55,10 @@ def compare(spark, con, fn, sql, sf):
     if len(left[1]) != len(right[1]):
         a, b = set(map(repr, left[1])), set(map(repr, right[1]))
         return f"rows {len(left[1])} != {len(right[1])}; spark only {sorted(a - b)[:2]}; sql only {sorted(b - a)[:2]}"
-    bad = [(a, b) for a, b in zip(left[1], right[1]) if a != b]
-    if bad:
-        return f"{len(bad)} of {len(left[1])} rows differ, first: {bad[0]}"
+    if left[1] != right[1]:
+        a, b = Counter(map(repr, left[1])), Counter(map(repr, right[1]))
+        return (f"{sum((a - b).values())} of {len(left[1])} rows differ; columns {left[0]}; "
+                f"spark only {sorted((a - b))[:3]}; sql only {sorted((b - a))[:3]}")
     if not left[1]:
         return "no rows on either side"
     return None
