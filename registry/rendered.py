@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .views import spread, table
+from .tables import spread, table
 
 # Spark form of the page keys; {div} is the integer division of the engine.
 _TERM = "concat('pedido café ', cast(o_orderkey {div} 10 as string))"

@@ -7,21 +7,9 @@ from pyspark.sql import functions as F
 
 from shelfscan.operators.ordered import join_keys
 from shelfscan.operators.requests import latest_sample, requests_from, rolling_sample
-from shelfscan.session import apply_settings
 
-
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    apply_settings(spark)
-    return spark.read.parquet(f"{sf}/{name}.parquet")
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores when the file gives fewer partitions than there are; else unchanged.
-
-    Applied to the compact rows the pages are rendered from, never to html.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+from .rendered import ID_SQL, LISTING_SQL
+from .tables import table
 
 
 def micros(c: str) -> F.Column:
@@ -125,8 +113,6 @@ def day_stats(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-from .rendered import ID_SQL, LISTING_SQL  # noqa: E402  (rendered pages read tables from here)
-
 _DK = "cast(regexp_extract(props,'[0-9]+',0) as bigint)"
 
 SQL: dict[str, str] = {
