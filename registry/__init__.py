@@ -25,4 +25,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load_all() -> None:
-    from . import fields, health, pages, requests, retry  # noqa: F401
+    from . import fields, health, logs, pages, requests, results, retry, search, streams  # noqa: F401

@@ -92,8 +92,8 @@ def _cards(card: str) -> str:
     )
 
 
-def _pages(spark: SparkSession, sf: str, platform: str, html: str) -> DataFrame:
-    return spread(table(spark, sf, "orders")).selectExpr(
+def _pages(orders: DataFrame, platform: str, html: str) -> DataFrame:
+    return spread(orders).selectExpr(
         f"'{platform}' as platform",
         f"{_TERM.format(div='div')} as search_term",
         f"{_PAGE.format(div='div')} as page_number",
@@ -103,16 +103,24 @@ def _pages(spark: SparkSession, sf: str, platform: str, html: str) -> DataFrame:
 
 
 def listing_pages(spark: SparkSession, sf: str) -> DataFrame:
+    return listing_pages_of(table(spark, sf, "orders"))
+
+
+def id_pages(spark: SparkSession, sf: str) -> DataFrame:
+    return id_pages_of(table(spark, sf, "orders"))
+
+
+def listing_pages_of(orders: DataFrame) -> DataFrame:
     """Pages of the offset-style platform: rich layout, basic on every third order."""
     body = f"if(o_orderkey % 3 = 0, {_cards(_BASIC_CARD)}, {_cards(_RICH_CARD)})"
     html = (
         "concat('<!DOCTYPE html><html><head><title>Busca</title><script>var a = \"<li>\";</script></head>"
         f"<body><ol class=\"ui-search-layout\">', {body}, '</ol></body></html>')"
     )
-    return _pages(spark, sf, "mercadolivre", html)
+    return _pages(orders, "mercadolivre", html)
 
 
-def id_pages(spark: SparkSession, sf: str) -> DataFrame:
+def id_pages_of(orders: DataFrame) -> DataFrame:
     """Pages of the query-style platform; some are block pages or lack the container."""
     pagination = """concat('<div><span class="s-pagination-item s-pagination-disabled">Anterior</span>',
       '<span class="s-pagination-item s-pagination-disabled">99</span>',
@@ -123,7 +131,7 @@ def id_pages(spark: SparkSession, sf: str) -> DataFrame:
       when o_orderkey % 19 = 3 then concat('<html><body><div class="other">', {_cards(_ID_CARD)}, '</div></body></html>')
       else concat('<html><body><div class="s-main-slot s-result-list">', {_cards(_ID_CARD)}, '</div>',
         if(o_orderkey % 4 = 1, '', {pagination}), '</body></html>') end"""
-    return _pages(spark, sf, "amazon", html)
+    return _pages(orders, "amazon", html)
 
 
 # --- the same rows as SQL ---------------------------------------------------------

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfscan.session import apply_settings
@@ -18,4 +22,35 @@ def spread(df: DataFrame) -> DataFrame:
     Applied to the compact rows the pages are rendered from, never to html.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming:
+        return df.repartition(cores)
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A given table as a file stream."""
+    schema = table(spark, sf, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder for written tables: shared on a cluster, temporary in tests."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return f"{shared.rstrip('/')}/shelfscan-{uuid.uuid4().hex}"
+    return tempfile.mkdtemp(prefix="shelfscan-")
+
+
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+
+
+def written_once(
+    spark: SparkSession, sf: str, name: str, make: Callable[[SparkSession, str], DataFrame]
+) -> DataFrame:
+    """A derived table that several queries start from, written once per application."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _WRITTEN:
+        path = f"{scratch(spark)}/{name}"
+        make(spark, sf).write.parquet(path)
+        _WRITTEN[key] = path
+    return spark.read.parquet(_WRITTEN[key])

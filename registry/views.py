@@ -26,8 +26,8 @@ _ERROR = f"""case when event_type <> 'error' then null else
     when 2 then 'RateLimitException' else 'BlockedException' end end"""
 
 
-def requests(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").selectExpr(
+def requests_of(events: DataFrame) -> DataFrame:
+    return events.selectExpr(
         "event_id as request_id",
         f"{_HOST} as host",
         "cast(ts as timestamp) as start_time",
@@ -39,8 +39,8 @@ def requests(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def samples(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").filter("event_type in ('view', 'click')").selectExpr(
+def samples_of(events: DataFrame) -> DataFrame:
+    return events.filter("event_type in ('view', 'click')").selectExpr(
         "event_id as sample_id",
         f"{_HOST} as host",
         "cast(ts as timestamp) as ts",
@@ -50,8 +50,7 @@ def samples(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def request_events(spark: SparkSession, sf: str) -> DataFrame:
-    req = requests(spark, sf)
+def request_events_of(req: DataFrame) -> DataFrame:
     number = "(response_size div 1024)"
     return (
         req.withColumn(
@@ -69,8 +68,8 @@ def request_events(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def attempts(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").selectExpr(
+def attempts_of(events: DataFrame) -> DataFrame:
+    return events.selectExpr(
         "event_id as attempt_id",
         "user_id as call_id",
         f"cast(1 + {_K} % 5 as int) as attempt",
@@ -86,6 +85,22 @@ def attempts(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def requests(spark: SparkSession, sf: str) -> DataFrame:
+    return requests_of(table(spark, sf, "events"))
+
+
+def samples(spark: SparkSession, sf: str) -> DataFrame:
+    return samples_of(table(spark, sf, "events"))
+
+
+def request_events(spark: SparkSession, sf: str) -> DataFrame:
+    return request_events_of(requests(spark, sf))
+
+
+def attempts(spark: SparkSession, sf: str) -> DataFrame:
+    return attempts_of(table(spark, sf, "events"))
+
+
 def rolled_samples(spark: SparkSession, sf: str) -> DataFrame:
     """Samples with the rolling request state of their host."""
     return rolling_sample(
