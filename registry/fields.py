@@ -70,7 +70,7 @@ def _(spark, sf):
 
 @query("f3_first_image", with_views(f"select {_KEYS_SQL}, image_url from listing_products", "listing_products"))
 def _(spark, sf):
-    return rich_cards(spark, sf).select(
+    return rich_cards(spark, sf).withColumn("card_images", fl.card_images()).select(
         *_KEYS, fl.first_image(R.RICH_RULES["image_url"]).alias("image_url")
     )
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,10 +42,13 @@ def _replace_all(c: Column, pairs: list[tuple[str, str]]) -> Column:
 
 
 def contains_any(c: Column, words: list[str]) -> Column:
-    found = F.lit(False)
-    for word in words:
-        found = found | F.contains(c, F.lit(word))
-    return found
+    """Whether any of the words occurs; the text is evaluated once for all of them."""
+    return c.rlike("|".join(re.escape(word) for word in words))
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` for an expensive ``value`` that ``use`` mentions several times."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def _number_text(c: Column) -> Column:

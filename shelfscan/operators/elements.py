@@ -53,6 +53,9 @@ class _Elements(HTMLParser):
         self.raw: list[str] = []
         self.pending: list[str] = []
 
+    def updatepos(self, i: int, j: int) -> int:
+        return j  # line numbers are not needed
+
     def _flush(self) -> None:
         if not self.pending:
             return

@@ -100,7 +100,7 @@ def _explode_cards(pages: DataFrame, found_cards: str, elems: str, outer: bool)
         F.expr(f"posexplode{'_outer' if outer else ''}(_cards) as (_at, c)"),
     )
     rest = [c for c in pages.columns if c not in ("elements", "text")]
-    return exploded.selectExpr(
+    cards = exploded.selectExpr(
         *rest,
         "cast(_at + 1 as int) as position_on_page",
         "c.id as card_id",
@@ -109,6 +109,9 @@ def _explode_cards(pages: DataFrame, found_cards: str, elems: str, outer: bool)
         "substring(text, c.text_at + 1, c.text_len) as card_text",
         f"{elems} as elems",
     )
+    return cards.withColumn(
+        "card_classes", F.expr("array_join(flatten(transform(elems, e -> e.classes)), ' ')")
+    )
 
 
 def product_cards(pages: DataFrame, outer: bool = False) -> DataFrame:
@@ -235,7 +238,7 @@ def sample_cards(pages: DataFrame, k: int = 3, rules: Sequence[str] = tuple(R.SA
     whole, fraction = text(R.ID_RULES["price_whole"]), text(R.ID_RULES["price_fraction"])
     link = F.expr(first(R.SAMPLE_LINK, "m.attrs['href']", scope))
     keep = [c for c in cards.columns
-            if c not in ("card_id", "card_attrs", "text_base", "card_text", "elems", "position_on_page")]
+            if c not in ("card_id", "card_attrs", "text_base", "card_text", "card_classes", "elems", "position_on_page")]
     return cards.select(
         *keep,
         F.col("position_on_page").alias("sample"),

@@ -22,8 +22,17 @@ from ..functions.text import (
     to_cents,
 )
 from ..plans import rules as R
-from .fields import first_image, first_link, first_text, has_badge, product_link, seller_name, shipping_label
-from .selectors import CARD_IN_PAGE, first, first_match_text
+from .fields import (
+    card_images,
+    first_image,
+    first_link,
+    first_text,
+    has_badge,
+    product_link,
+    seller_name,
+    shipping_label,
+)
+from .selectors import CARD_IN_PAGE, first, first_match_text, first_nonempty_text
 
 # Output columns in order.
 TEXT_COLUMNS = [
@@ -33,23 +42,23 @@ TEXT_COLUMNS = [
 NUMBER_COLUMNS = ["page_number", "position_on_page"]
 PRODUCT_COLUMNS = TEXT_COLUMNS + NUMBER_COLUMNS
 
-_CARD_COLUMNS = ("card_id", "card_attrs", "text_base", "card_text", "elems", "parse_error")
+_CARD_COLUMNS = ("card_id", "card_attrs", "text_base", "card_text", "card_classes", "elems", "parse_error")
+
+
+_PRICES = ("price", "original_price")
+
+
+def _listing_fields(rules: Mapping[str, Sequence[str]]) -> dict[str, Column]:
+    """Raw field texts of a listing card; fields without a rule are null."""
+    readers = {"product_url": first_link, "image_url": first_image}
+    return {name: readers.get(name, first_text)(rules.get(name, [])) for name in TEXT_COLUMNS}
 
 
-def _listing_fields(rules: Mapping[str, Sequence[str]], legacy: bool) -> dict[str, Column]:
-    """Field columns of a listing card; fields without a rule are null."""
-    fields: dict[str, Column] = {}
-    for name in TEXT_COLUMNS:
-        own = rules.get(name, [])
-        if name == "product_url":
-            fields[name] = first_link(own)
-        elif name == "image_url":
-            fields[name] = first_image(own)
-        elif name in ("price", "original_price"):
-            fields[name] = brl_cents(first_text(own), legacy).cast("string")
-        else:
-            fields[name] = first_text(own)
-    return fields
+def _with_cents(raw: DataFrame, legacy: bool) -> DataFrame:
+    # a step of its own: parsing mentions the text several times, finding it is expensive
+    return raw.withColumns(
+        {c: brl_cents(F.col(c), legacy).cast("string") for c in _PRICES if c in raw.columns}
+    )
 
 
 def _keys(cards: DataFrame) -> list[str]:
@@ -60,8 +69,11 @@ def rich_products(
     cards: DataFrame, rules: Mapping[str, Sequence[str]] = R.RICH_RULES, legacy: bool = False
 ) -> DataFrame:
     """Twelve fields of a rich card; a card with nothing found still gives a row."""
-    fields = _listing_fields(rules, legacy)
-    return cards.select(*_keys(cards), *[c.alias(n) for n, c in fields.items()])
+    fields = _listing_fields(rules)
+    raw = cards.withColumn("card_images", card_images()).select(
+        *_keys(cards), *[c.alias(n) for n, c in fields.items()]
+    )
+    return _with_cents(raw, legacy)
 
 
 def basic_products(
@@ -78,30 +90,32 @@ def listing_products(
     legacy: bool = False,
 ) -> DataFrame:
     """Rich and basic cards together, each by the rules of its layout, in one pass."""
-    one, other = _listing_fields(rich, legacy), _listing_fields(basic, legacy)
-    return cards.select(
+    one, other = _listing_fields(rich), _listing_fields(basic)
+    raw = cards.withColumn("card_images", card_images()).select(
         *_keys(cards),
         *[
             F.when(F.col("layout") == R.RICH, one[n]).otherwise(other[n]).alias(n)
             for n in TEXT_COLUMNS
         ],
     )
+    return _with_cents(raw, legacy)
 
 
 def title_and_prices(cards: DataFrame, legacy: bool = False) -> DataFrame:
     """Title, current price, original price and raw discount text by layout."""
-    rich, basic = _listing_fields(R.RICH_RULES, legacy), _listing_fields(R.BASIC_RULES, legacy)
+    rich, basic = _listing_fields(R.RICH_RULES), _listing_fields(R.BASIC_RULES)
     wanted = ("title", "price", "original_price", "discount_percentage")
-    return cards.select(
+    raw = cards.select(
         *_keys(cards),
         *[F.when(F.col("layout") == R.RICH, rich[n]).otherwise(basic[n]).alias(n) for n in wanted],
     )
+    return _with_cents(raw, legacy)
 
 
 def card_identity() -> tuple[Column, Column]:
     """Item id and title of an id-carrying card, null when empty."""
     item = F.nullif(F.col("card_attrs")[R.ID_ATTRIBUTE], F.lit(""))
-    title = F.nullif(F.expr(first_match_text(R.ID_RULES["title"], CARD_IN_PAGE)), F.lit(""))
+    title = F.expr(first_nonempty_text(R.ID_RULES["title"], CARD_IN_PAGE))
     return item, title
 
 
@@ -118,18 +132,34 @@ def id_products(cards: DataFrame, legacy: bool = False) -> DataFrame:
     identified = cards.withColumns({"item_id": item, "title": title}).filter(
         F.col("item_id").isNotNull() & F.col("title").isNotNull()
     )
-    whole, fraction = text("price_whole"), text("price_fraction")
+    # texts first, numbers from them next: each text is looked up once
+    raw = identified.select(
+        *_keys(cards),
+        "item_id",
+        "title",
+        text("price_whole").alias("_whole"),
+        text("price_fraction").alias("_fraction"),
+        text("price_full").alias("_full"),
+        text("original_price").alias("_before"),
+        text("rating").alias("_rating"),
+        text("reviews").alias("_reviews"),
+        seller_name().alias("seller"),
+        shipping_label().alias("shipping"),
+        product_link(F.col("item_id")).alias("product_url"),
+        F.expr(first(R.ID_RULES["image"], "m.attrs['src']", CARD_IN_PAGE)).alias("_image"),
+        has_badge().alias("has_badge"),
+    )
     price = F.when(
-        whole.isNotNull() & fraction.isNotNull(), split_price(whole, fraction)
-    ).otherwise(offscreen_price(text("price_full")))
-    priced = identified.withColumns(
+        F.col("_whole").isNotNull() & F.col("_fraction").isNotNull(),
+        split_price(F.col("_whole"), F.col("_fraction")),
+    ).otherwise(offscreen_price(F.col("_full")))
+    priced = raw.withColumns(
         {
             "_price": to_cents(price, legacy),
-            "_original": to_cents(offscreen_price(text("original_price")), legacy),
+            "_original": to_cents(offscreen_price(F.col("_before")), legacy),
+            "_stars": rating_value(F.col("_rating")),
         }
-    )
-    discount = F.nullif(discount_pct(F.col("_price"), F.col("_original")), F.lit(0.0))
-    rating = F.nullif(rating_value(text("rating")), F.lit(0.0))
+    ).withColumn("_discount", discount_pct(F.col("_price"), F.col("_original")))
     nothing = F.lit(None).cast("string")
     return priced.select(
         *_keys(cards),
@@ -137,16 +167,17 @@ def id_products(cards: DataFrame, legacy: bool = False) -> DataFrame:
         "title",
         F.col("_price").cast("string").alias("price"),
         F.col("_original").cast("string").alias("original_price"),
-        F.concat(discount.cast("string"), F.lit("%")).alias("discount_percentage"),
-        seller_name().alias("seller"),
-        rating.cast("string").alias("rating"),
-        F.coalesce(review_count(text("reviews"), legacy), F.lit(0)).cast("string").alias("reviews_count"),
-        shipping_label().alias("shipping"),
-        product_link(F.col("item_id")).alias("product_url"),
-        F.nullif(F.expr(first(R.ID_RULES["image"], "m.attrs['src']", CARD_IN_PAGE)), F.lit("")).alias("image_url"),
+        F.when(F.col("_discount") != 0, F.concat(F.col("_discount").cast("string"), F.lit("%")))
+        .alias("discount_percentage"),
+        "seller",
+        F.when(F.col("_stars") != 0, F.col("_stars").cast("string")).alias("rating"),
+        F.coalesce(review_count(F.col("_reviews"), legacy), F.lit(0)).cast("string").alias("reviews_count"),
+        "shipping",
+        "product_url",
+        F.nullif(F.col("_image"), F.lit("")).alias("image_url"),
         nothing.alias("installments"),
         nothing.alias("location"),
-        has_badge().alias("has_badge"),
+        "has_badge",
     )
 
 

@@ -22,17 +22,20 @@ class Scope:
     """Where selectors look: element array, its text, and which elements qualify.
 
     ``root`` names a column with the id of the card; with ``below_root`` only
-    elements under the card match, while all ancestors still count.
+    elements under the card match, while all ancestors still count. ``classes`` names
+    a column with all class names of ``elems`` in one text: rules whose classes do not
+    occur in it are decided without looking at the elements.
     """
 
     elems: str = "elems"
     text: str = "card_text"
     base: str = "text_base"
     root: str = "card_id"
+    classes: str | None = "card_classes"
     below_root: bool = False
 
 
-PAGE = Scope(elems="elements", text="text", base="0")
+PAGE = Scope(elems="elements", text="text", base="0", classes=None)
 CARD = Scope()
 CARD_IN_PAGE = Scope(below_root=True)
 
@@ -91,6 +94,24 @@ def condition(selector: str, elems: str, e: str = "e0") -> str:
     return matched(len(steps) - 1, e)
 
 
+_CLASS_WORD = re.compile(r"""(?<!:not\()\.([\w-]+)|\[class\*?="([^"]*)"\]""")
+
+
+def possible(selector: str, scope: Scope = CARD) -> str | None:
+    """SQL condition that every match implies, from the class names alone; None if there is none."""
+    if scope.classes is None:
+        return None
+    bare = re.sub(r"""\[(?!class)[^\]]*\]""", "", selector)
+    words = dict.fromkeys(w for pair in _CLASS_WORD.findall(bare) for w in pair if w)
+    return " AND ".join(f"contains({scope.classes}, {_quoted(w)})" for w in words) or None
+
+
+def guarded(selector: str, value: str, scope: Scope = CARD, otherwise: str = "null") -> str:
+    """SQL ``value``, or ``otherwise`` at once when the selector cannot match."""
+    check = possible(selector, scope)
+    return f"if({check}, {value}, {otherwise})" if check else value
+
+
 def matches(selector: str, scope: Scope = CARD) -> str:
     """SQL array of the matching elements in document order."""
     below = f"e0.id > {scope.root} AND " if scope.below_root else ""
@@ -104,7 +125,8 @@ def text_of(e: str, scope: Scope = CARD) -> str:
 
 def first(selector: str, value: str, scope: Scope = CARD) -> str:
     """SQL ``value`` (an expression over ``m``) of the first match, null without one."""
-    return f"get(transform(slice({matches(selector, scope)}, 1, 1), m -> {value}), 0)"
+    found_first = f"get(transform(slice({matches(selector, scope)}, 1, 1), m -> {value}), 0)"
+    return guarded(selector, found_first, scope)
 
 
 def first_match_text(selector: str, scope: Scope = CARD) -> str:
@@ -112,12 +134,19 @@ def first_match_text(selector: str, scope: Scope = CARD) -> str:
     return first(selector, text_of("m", scope), scope)
 
 
+def first_nonempty_text(selector: str, scope: Scope = CARD) -> str:
+    """SQL text of the first match, null when it is empty or there is no match."""
+    return first(selector, f"if(m.text_len > 0, {text_of('m', scope)}, null)", scope)
+
+
 def all_texts(selector: str, scope: Scope = CARD) -> str:
     """SQL array with the texts of all matches."""
-    return f"transform({matches(selector, scope)}, m -> {text_of('m', scope)})"
+    texts = f"transform({matches(selector, scope)}, m -> {text_of('m', scope)})"
+    return guarded(selector, texts, scope, "cast(array() as array<string>)")
 
 
 def found(selector: str, scope: Scope = CARD) -> str:
     """SQL condition: at least one match."""
     below = f"e0.id > {scope.root} AND " if scope.below_root else ""
-    return f"exists({scope.elems}, e0 -> {below}{condition(selector, scope.elems)})"
+    hit = f"exists({scope.elems}, e0 -> {below}{condition(selector, scope.elems)})"
+    return guarded(selector, hit, scope, "false")
