@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfscan.session import apply_settings
+from shelfscan.session import apply_settings, scratch_folder
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -33,13 +31,7 @@ def stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder for written tables: shared on a cluster, temporary in tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/shelfscan-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="shelfscan-")
-
+scratch = scratch_folder
 
 _WRITTEN: dict[tuple[str, str, str], str] = {}
 

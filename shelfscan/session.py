@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -31,3 +34,21 @@ def local_session(cores: str | int = "*", partitions: int = 8) -> SparkSession:
         .config("spark.sql.shuffle.partitions", str(partitions))
     )
     return apply_settings(builder.getOrCreate())
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder for written tables, in the shared folder the cluster names.
+
+    Only where ``spark.checkpoint.dir`` is unset, as in tests, it is a temporary one.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return f"{shared.rstrip('/')}/shelfscan-{uuid.uuid4().hex}"
+    return tempfile.mkdtemp(prefix="shelfscan-")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Write ``df`` once and read it back: for inputs that a query needs several times."""
+    path = f"{scratch_folder(df.sparkSession)}/table"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
