@@ -27,6 +27,17 @@ VOID_TAGS = frozenset(
 )
 MUTE_TAGS = frozenset(["script", "style", "template"])
 
+# Tags after which the standard parser reads text by other rules.
+_PARSER_MODES = frozenset(
+    "script style textarea title xmp iframe noembed noframes plaintext noscript".split()
+)
+
+# Result pages repeat most start tags: their parsed attributes are kept within a
+# task, up to this many different tags of at most this length.
+_KNOWN_TAGS: dict[str, tuple[str, dict, list]] = {}
+_KNOWN_LIMIT = 20_000
+_KNOWN_LENGTH = 160
+
 # Rows handed back per Arrow batch, so one batch of large pages stays small.
 _ROWS_PER_BATCH = 64
 
@@ -40,7 +51,10 @@ _ELEMENT = pa.struct(
 
 
 class _Elements(HTMLParser):
-    """Collects the elements of one page: ``[end, depth, tag, attrs, text_at, text_len]``."""
+    """Collects the elements of one page.
+
+    A row is ``[end, depth, tag, attrs, text_at, text_len, classes]``.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -79,10 +93,33 @@ class _Elements(HTMLParser):
         self.open_count[row[2]] -= 1
         self.muted -= row[2] in MUTE_TAGS
 
+    def parse_starttag(self, i: int) -> int:
+        end = self.check_for_whole_start_tag(i)
+        source = self.rawdata[i:end] if 0 <= end - i <= _KNOWN_LENGTH else ""
+        if source in _KNOWN_TAGS:
+            self._open(*_KNOWN_TAGS[source])
+            return end
+        before = len(self.rows)
+        end = super().parse_starttag(i)
+        # only plain tags: not self-closed, and none that switch the parser's mode
+        if source and len(self.rows) == before + 1 and not source.endswith("/>"):
+            row = self.rows[before]
+            if row[2] not in _PARSER_MODES and len(_KNOWN_TAGS) < _KNOWN_LIMIT:
+                _KNOWN_TAGS[source] = (row[2], row[3], row[6])
+        return end
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        # the last of repeated attributes wins; class names are separated by one space
+        values = {k: v or "" for k, v in attrs}
+        classes = values["class"].split() if "class" in values else []
+        if classes:
+            values["class"] = " ".join(classes)
+        self._open(tag, values, classes)
+
+    def _open(self, tag: str, values: dict, classes: list) -> None:
         self._flush()
         number = len(self.rows)
-        self.rows.append([number, len(self.open), tag, attrs, self.chars, 0])
+        self.rows.append([number, len(self.open), tag, values, self.chars, 0, classes])
         if tag not in VOID_TAGS:
             self.open.append(number)
             self.open_count[tag] = self.open_count.get(tag, 0) + 1
@@ -147,12 +184,8 @@ def _element_arrays(pages: list[_Elements]) -> pa.Array:
     """All elements of a batch as one list array, built column by column."""
     rows = [row for page in pages for row in page.rows]
     ids = [i for page in pages for i in range(len(page.rows))]
-    # the last of repeated attributes wins; class names are separated by one space
-    attributes = [{k: v or "" for k, v in row[3]} for row in rows]
-    classes = [a["class"].split() if "class" in a else [] for a in attributes]
-    for a, names in zip(attributes, classes):
-        if names:
-            a["class"] = " ".join(names)
+    attributes = [row[3] for row in rows]
+    classes = [row[6] for row in rows]
     struct = pa.StructArray.from_arrays(
         [
             pa.array(ids, pa.int32()),
