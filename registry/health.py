@@ -37,8 +37,8 @@ fold as (select host, alert_type, ts_us, n, true as fired, ts_us as last from or
 select host, alert_type, ts_us from fold where fired""", "rolled_samples", recursive=True))
 def _(spark, sf):
     broken = hl.breaches(rolled_samples(spark, sf))
-    # 16 gaps per chunk, so one key spans many chunks on the month of data
-    return hl.alerts(broken, ["host", "alert_type"], 3600, chunk_gaps=16).select(
+    # 48 gaps (two days) per chunk, so one key spans many chunks
+    return hl.alerts(broken, ["host", "alert_type"], 3600, chunk_gaps=48).select(
         "host", "alert_type", micros("ts").alias("ts_us")
     )
 
