@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, mixing, packing, secrets, simhash
+from . import lines, mixing, packing, secrets, simhash, toxicity
 from .oracles import ORACLES  # noqa: F401
-from .settings import MIX, SITE, VOCABULARY, vocabulary
-from .shared import documents
+from .settings import MIX, SITE, TOXIC_FROM, VOCABULARY, vocabulary
+from .shared import documents, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -82,3 +82,16 @@ def op10_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return lines.remove_boilerplate(documents(spark, sf), SITE).select(
         "doc_id", "text", "n_lines", "n_removed"
     )
+
+
+@_registered
+def op9_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of all documents; rows with remainder 1 are never learned from."""
+    labels = spark.read.parquet(f"{sf}/labels.parquet").filter(remainder("doc_id", 3) != 1)
+    found = toxicity.score_toxicity(documents(spark, sf).select("doc_id", "text"), labels)
+    return found.select(
+        "doc_id",
+        (remainder("doc_id", 3) == 1).alias("held_out"),
+        "score",
+        (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"),
+    )

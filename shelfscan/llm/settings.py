@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 SITE = "source"
+TOXIC_FROM = 0.7
 VOCABULARY = "word_bpe_49k.json"
 
 # Sources are grouped to domains by their number; unlisted groups have weight 1.
