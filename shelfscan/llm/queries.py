@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, mixing, packing, secrets, simhash, toxicity
+from . import classlm, lines, mixing, packing, secrets, simhash, toxicity
 from .oracles import ORACLES  # noqa: F401
 from .settings import MIX, SITE, TOXIC_FROM, VOCABULARY, vocabulary
 from .shared import documents, remainder
@@ -95,3 +95,19 @@ def op9_toxicity(spark: SparkSession, sf: str) -> DataFrame:
         "score",
         (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"),
     )
+
+
+@_registered
+def op5_class_lm(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of all documents by a model of those that are not held out."""
+    docs = documents(spark, sf).select("doc_id", "text")
+    model = classlm.train(docs.filter(remainder("doc_id", 5) != 1))
+    return classlm.score(docs, model).select(
+        "doc_id",
+        (remainder("doc_id", 5) == 1).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        F.lit(model.total).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
+    )
