@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .secrets import ACCESS, ASSIGN, HEX, OPAQUE
+from .credentials import ACCESS, ASSIGN, HEX, OPAQUE
 from .settings import MIX, SITE
 
 ORACLES: dict[str, str] = {}

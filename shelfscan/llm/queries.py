@@ -7,10 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classlm, lines, mixing, packing, secrets, simhash, toxicity
+from . import (
+    classlm,
+    credentials,
+    hnsw,
+    lines,
+    mixing,
+    neighbours,
+    packing,
+    shared,
+    simhash,
+    toxicity,
+)
 from .oracles import ORACLES  # noqa: F401
 from .settings import MIX, SITE, TOXIC_FROM, VOCABULARY, vocabulary
-from .shared import documents, remainder
+from .shared import documents, embeddings, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -47,14 +58,14 @@ def op6_packing(spark: SparkSession, sf: str) -> DataFrame:
 
 @_registered
 def op8_secrets(spark: SparkSession, sf: str) -> DataFrame:
-    found = secrets.find_secrets(documents(spark, sf), repository=f"concat(lang, '/', {SITE})", owner=SITE)
+    found = credentials.find_secrets(documents(spark, sf), repository=f"concat(lang, '/', {SITE})", owner=SITE)
 
     def joined(spans):
         part = F.transform(
             spans,
             lambda s: F.concat_ws(
                 ":",
-                F.element_at(F.array(*map(F.lit, secrets.KINDS)), s["kind"] + 1),
+                F.element_at(F.array(*map(F.lit, credentials.KINDS)), s["kind"] + 1),
                 s["start"].cast("string"),
                 s["end"].cast("string"),
             ),
@@ -66,7 +77,7 @@ def op8_secrets(spark: SparkSession, sf: str) -> DataFrame:
     def number(kind):
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
 
-    counts = [number(k).alias(f"n_{name}") for k, name in enumerate(secrets.KINDS[:3])]
+    counts = [number(k).alias(f"n_{name}") for k, name in enumerate(credentials.KINDS[:3])]
     live = F.size(F.filter("spans", lambda s: s["verdict"] == "live")).cast("long")
     return found.select(
         "doc_id",
@@ -111,3 +122,18 @@ def op5_class_lm(spark: SparkSession, sf: str) -> DataFrame:
         "base_score",
         "score",
     )
+
+
+@_registered
+def op7_projection_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbours.near_duplicates(embeddings(spark, sf), threshold=0.93)
+
+
+@_registered
+def op1_hnsw(spark: SparkSession, sf: str) -> DataFrame:
+    """20 nearest of every twentieth vector, among all others."""
+    vectors = embeddings(spark, sf)
+    index = hnsw.build_index(vectors, "vec_id", "embedding", copies=21)
+    asked = vectors.filter(F.col("vec_id") % 20 == 0)
+    found = hnsw.search(shared.cut(index), asked, "vec_id", "embedding", k=20)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
