@@ -15,6 +15,7 @@ from . import (
     mixing,
     neighbours,
     packing,
+    passages,
     shared,
     simhash,
     toxicity,
@@ -137,3 +138,8 @@ def op1_hnsw(spark: SparkSession, sf: str) -> DataFrame:
     asked = vectors.filter(F.col("vec_id") % 20 == 0)
     found = hnsw.search(shared.cut(index), asked, "vec_id", "embedding", k=20)
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+@_registered
+def op4_passages(spark: SparkSession, sf: str) -> DataFrame:
+    return passages.shared_passages(documents(spark, sf))
