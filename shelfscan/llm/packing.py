@@ -27,7 +27,7 @@ PIECES = (
     "doc_id long, piece int, start long, length long, ids_crc32 long"
 )
 _BUCKETS = 64
-_KNOWN = 1_200_000
+_KNOWN = 300_000
 
 
 def _encoder(path: str):
@@ -37,26 +37,36 @@ def _encoder(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path), {}
+    return Tokenizer.from_file(path), [{}, {}]
 
 
-def _token_bytes(text: str, tokenizer, known: dict[bytes, bytes]) -> bytes:
-    """Little-endian 32-bit ids of a text, one word at a time through a bounded cache."""
+def _token_bytes(text: str, tokenizer, known: list[dict[bytes, bytes]]) -> bytes:
+    """Little-endian 32-bit ids of a text, one word at a time through a bounded cache.
+
+    The cache has two halves: words of the older one move to the newer when they are used, and
+    the older is given up when the newer is full, so that common words stay.
+    """
     words = text.encode("utf-8", "replace").split()
-    found = list(map(known.get, words))
+    found = list(map(known[0].get, words))
     if None in found:
-        if len(known) > _KNOWN:
-            known.clear()
-            found = [None] * len(words)
-        new = list({w for w, ids in zip(words, found) if ids is None})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
+        if len(known[0]) > _KNOWN:
+            known[:] = [{}, known[0]]
+        new, old = known
+        unknown = []
+        for word in {w for w, ids in zip(words, found) if ids is None}:
+            ids = old.get(word)
+            if ids is None:
+                unknown.append(word)
+            else:
+                new[word] = ids
+        for at in range(0, len(unknown), 20_000):
+            part = unknown[at : at + 20_000]
             coded = tokenizer.encode_batch_fast(
                 [w.decode() for w in part], add_special_tokens=False
             )
             for word, ids in zip(part, coded):
-                known[word] = np.array(ids.ids, "<u4").tobytes()
-        found = list(map(known.__getitem__, words))
+                new[word] = np.array(ids.ids, "<u4").tobytes()
+        found = [new[w] if ids is None else ids for w, ids in zip(words, found)]
     return b"".join(found)
 
 
