@@ -38,9 +38,16 @@ def _hashes(vectors: np.ndarray, passes: int, seed: int) -> np.ndarray:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    """Rows of equal length as doubles."""
+    """Vectors as rows of doubles; shorter ones, whose labels differ, are filled with zeros."""
     flat = np.asarray(column.flatten(), np.float64)
-    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
+    lengths = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    widest = int(lengths.max(initial=1))
+    if (lengths == widest).all():
+        return flat.reshape(len(column), widest)
+    out = np.zeros((len(column), widest))
+    row = np.repeat(np.arange(len(column)), lengths)
+    out[row, np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = flat
+    return out
 
 
 def passes_for(rows: int, threshold: float, window: int, miss: float) -> int:
