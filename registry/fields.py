@@ -15,7 +15,7 @@ from shelfscan.plans import rules as R
 from . import query
 from .pages import given_elements
 from .rendered import id_pages, listing_pages
-from .tables import spread, table
+from .tables import table
 from .views import with_views
 
 _LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "cents"]
@@ -276,7 +276,7 @@ def _repaired(c: str) -> str:
 select doc_id, {_repaired("concat(text, 'â†’ â†' || chr(144) || ' â†‘ â†“ âœ“ âœ— â˜… â€¢ â€¦ 日本')")} as text,
   {_repaired("lang")} as lang, {_repaired("source")} as source from documents""")
 def _(spark, sf):
-    docs = spread(table(spark, sf, "documents")).select(
+    docs = table(spark, sf, "documents").select(
         "doc_id",
         F.concat("text", F.lit("â†’ â†\u0090 â†‘ â†“ âœ“ âœ— â˜… â€¢ â€¦ 日本")).alias("text"),
         "lang", "source",

@@ -40,7 +40,7 @@ def requests_of(events: DataFrame) -> DataFrame:
 
 
 def samples_of(events: DataFrame) -> DataFrame:
-    return events.filter("event_type in ('view', 'click')").selectExpr(
+    return events.selectExpr(
         "event_id as sample_id",
         f"{_HOST} as host",
         "cast(ts as timestamp) as ts",
@@ -142,7 +142,7 @@ SQL: dict[str, str] = {
         concat('host', cast(user_id % 10 as varchar)) as host, epoch_us(ts) as ts_us,
         cast(cast(round(value * 10000) as decimal(18,0)) * 0.001 as decimal(18,3)) as memory_usage_mb,
         {_DK} as cpu_percent, {_DK} * 2 as open_files
-        from events where event_type in ('view','click'))""",
+        from events)""",
     "request_events": """request_events as (
         select request_id, host, 'start' as kind, start_us as ts_us, null::boolean as success,
             null::bigint as response_size, null::varchar as error_type, null::integer as retry_count
