@@ -183,6 +183,29 @@ def test_shared_passages(spark, empty):
     assert passages.shared_passages(empty).count() == 0
 
 
+def test_several_passages_of_one_pair(spark):
+    """Two passages far apart, and one with a long insertion: all of each is found."""
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(20_000)]
+
+    def fill(n):
+        return rng.choice(words, n).tolist()
+
+    one, two, three = fill(100), fill(100), fill(1000)
+    texts = [
+        [*fill(50), *one, *fill(200), *two, *fill(50)],
+        [*fill(30), *one, *fill(210), *two, *fill(70)],
+        [*fill(40), *three, *fill(40)],
+        [*fill(60), *three[:100], *fill(10), *three[100:], *fill(20)],
+    ]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    found = passages.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    spans = {i: sorted((r["start"], r["end"]) for r in found if r["doc_id"] == i) for i in (1, 3)}
+    assert all(r["other_id"] == r["doc_id"] - 1 and r["similarity"] >= 0.8 for r in found)
+    assert [abs(a - b) <= 3 for s, e in zip(spans[1], [(30, 130), (340, 440)]) for a, b in zip(s, e)] == [True] * 4
+    assert sum(r["equal_words"] for r in found if r["doc_id"] == 3) >= 1000
+
+
 def test_chain_follows_order():
     x = np.array([0, 10, 20, 30, 5, 300])
     y = np.array([100, 110, 121, 131, 20, 400])
