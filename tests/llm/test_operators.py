@@ -206,6 +206,51 @@ def test_several_passages_of_one_pair(spark):
     assert sum(r["equal_words"] for r in found if r["doc_id"] == 3) >= 1000
 
 
+def test_passages_with_other_holders(spark):
+    """Halves held earlier by others; a passage twice in one text; one far beyond its own seeds."""
+    rng = np.random.default_rng(7)
+    words = [f"w{i}" for i in range(30_000)]
+
+    def fill(n):
+        return rng.choice(words, n).tolist()
+
+    rows, pairs = [], set()
+    for i in range(0, 40, 4):
+        shared = fill(60)
+        for half in (shared[:30], shared[30:]):
+            rows.append([*fill(50), *half, *fill(50)])
+        for _ in range(2):
+            rows.append([*fill(50), *shared, *fill(50)])
+        pairs.add((i + 3, i + 2))
+    twice, long = fill(80), fill(900)
+    rows.append([*fill(20), *twice, *fill(60), *twice, *fill(20)])  # 40
+    rows += [long[i : i + 80] + fill(9) for i in range(100, 900, 20)]  # 41..80
+    rows += [[*fill(9), *long, *fill(9)] for _ in range(2)]  # 81, 82
+    table = [(i, " ".join(r)) for i, r in enumerate(rows)]
+    found = passages.shared_passages(spark.createDataFrame(table, "doc_id long, text string")).collect()
+    at = {(r["doc_id"], r["other_id"]): r for r in found if r["equal_words"] >= 60}
+    assert pairs <= set(at)
+    assert (at[40, 40]["start"], at[40, 40]["other_start"], at[40, 40]["equal_words"]) == (160, 20, 80)
+    assert at[82, 81]["equal_words"] == 900
+
+
+def test_passages_beyond_the_flank(spark):
+    """A chain whose texts agree up to the end of the slices is given back to be looked at further."""
+    text = " ".join(f"w{i}" for i in range(2000))
+    docs = spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")
+    chains = spark.createDataFrame([(2, 1, [1000], [1000])], passages._CHAIN)
+    near = passages._aligned(chains, docs, 6, 128, 40, 0.8).collect()
+    assert [(r["doc_id"], r["other_id"], r["places"], r["start"]) for r in near] == [(2, 1, [1000], None)]
+    far = passages._aligned(chains, docs, 6, 1024, 40, 0.8).collect()
+    assert [(r["start"], r["end"], r["equal_words"]) for r in far] == [(0, 2000, 2000)]
+
+
+def test_contexts_of_few_seeds():
+    for n in range(6):
+        pair, four = passages._contexts(np.arange(n))
+        assert len(pair) == len(four) == n
+
+
 def test_chain_follows_order():
     x = np.array([0, 10, 20, 30, 5, 300])
     y = np.array([100, 110, 121, 131, 20, 400])
