@@ -251,6 +251,22 @@ def test_contexts_of_few_seeds():
         assert len(pair) == len(four) == n
 
 
+def test_edited_passages_share_a_seed():
+    """At the default k and window, of passages of 40 words with a fifth changed nearly all."""
+    import inspect
+
+    given = inspect.signature(passages.shared_passages).parameters
+    k, window = given["k"].default, given["window"].default
+    rng, met = np.random.default_rng(3), 0
+    for _ in range(300):
+        one, two, own = (rng.integers(1 << 62, size=n).astype(np.uint64) for n in (240, 240, 40))
+        one[100:140] = two[90:130] = own
+        two[90 + rng.choice(40, 8, replace=False)] += np.uint64(1)
+        a, b = (passages.minimizers(t, k, window)[1] for t in (one, two))
+        met += bool(len(np.intersect1d(a, b)))
+    assert met >= 0.95 * 300
+
+
 def test_chain_follows_order():
     x = np.array([0, 10, 20, 30, 5, 300])
     y = np.array([100, 110, 121, 131, 20, 400])
