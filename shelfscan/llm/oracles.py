@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from .credentials import ACCESS, ASSIGN, HEX, OPAQUE
-from .settings import MIX, SITE
+from .settings import MIX, SHARDS, SITE
+from .sharding import MULTIPLIERS, ROUNDS, round_keys
 
 ORACLES: dict[str, str] = {}
 
@@ -142,3 +143,90 @@ def secrets_sql(example_owners: int = 3) -> str:
 
 
 ORACLES["op8_secrets"] = secrets_sql()
+
+
+def _crc32(text: str) -> str:
+    """SQL for the unsigned crc32 of a text's UTF-8 bytes, over the polynomial's byte table."""
+    table = []
+    for value in range(256):
+        for _ in range(8):
+            value = (value >> 1) ^ (0xEDB88320 if value & 1 else 0)
+        table.append(value)
+    codes = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::BIGINT)"
+    step = f"lambda a, x: xor(a >> 8, {table}[(xor(a, x) & 255) + 1])"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, {codes}), {step}))"
+
+
+def _network(value: str) -> str:
+    """Select list: one pass of the sharding network over ``value``, as column ``out``."""
+
+    def mixed(number: str) -> str:
+        found = f"[({number}) & 4294967295]"
+        for factor in MULTIPLIERS:
+            found = f"list_transform({found}, lambda x: (xor(x, x >> 16) * {factor}) & 4294967295)"
+        return f"list_transform({found}, lambda x: xor(x, x >> 15))[1]"
+
+    parts, high, low = [f"{value} >> lower AS h", f"{value} & ((1::BIGINT << lower) - 1) AS l"], "h", "l"
+    for at, key in enumerate(round_keys(SHARDS["seed"])[:ROUNDS]):
+        if at % 2:
+            parts.append(f"xor({low}, {mixed(f'{high} + {key}')} & ((1::BIGINT << lower) - 1)) AS l{at}")
+            low = f"l{at}"
+        else:
+            parts.append(f"xor({high}, {mixed(f'{low} + {key}')} & ((1::BIGINT << upper) - 1)) AS h{at}")
+            high = f"h{at}"
+    return ", ".join([*parts, f"(({high} << lower) | {low}) AS out"])
+
+
+ORACLES["op13_sharding"] = f"""
+    WITH RECURSIVE sized AS (
+        SELECT doc_id, (octet_length(encode(coalesce(text, ''))) + 1)::BIGINT AS size,
+               {_crc32("coalesce(text, '')")} AS text_crc32 FROM documents),
+    rows_ AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS shard_row FROM sized),
+    wide AS (SELECT count(*) AS n, greatest(2, length(bin(count(*) - 1))) AS bits FROM sized),
+    halves AS (SELECT n, (bits // 2)::BIGINT AS upper, (bits - bits // 2)::BIGINT AS lower FROM wide),
+    walk AS (
+        SELECT shard_row, out FROM (SELECT shard_row, {_network("shard_row")} FROM rows_, halves)
+        UNION ALL
+        SELECT shard_row, out2 FROM (SELECT shard_row, n, {_network("w.out").replace(" AS out", " AS out2")} FROM walk w, halves WHERE w.out >= n))
+    SELECT doc_id, size, text_crc32, 'rows' AS law, (out % {SHARDS["shards"]})::INT AS shard,
+           out // {SHARDS["shards"]} AS slot, NULL::INT AS grown_shard, shard_row
+    FROM rows_ JOIN walk USING (shard_row), halves WHERE out < n"""
+
+
+def spelling_sql(table: str = "documents", every: int = 199) -> str:
+    """Words with their forms by all texts with one character left out, in plain joins."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    left_out = "substr(word, 1, i - 1) || substr(word, i + 1)"
+    return f"""
+    WITH RECURSIVE runs AS (
+        SELECT coalesce(doc_id::VARCHAR, '') AS doc, unnest(regexp_extract_all(
+            translate(text, '{upper}', '{lower}'), '[a-z\u00C0-\u00FF]+')) AS word FROM {table}),
+    told AS (SELECT doc, word, count(*) AS n FROM runs GROUP BY ALL),
+    hashed AS (SELECT word, n, {_crc32("doc || ':' || word")} AS h FROM told),
+    words AS (
+        SELECT CASE WHEN h % {every} = 0
+               THEN substr(word, 1, (h % length(word))::INT) || substr(word, (h % length(word))::INT + 2)
+               ELSE word END AS word, sum(n)::BIGINT AS n
+        FROM hashed GROUP BY 1),
+    kept AS (SELECT * FROM words WHERE length(word) >= 6 AND n >= 5),
+    less AS (SELECT word, n, i, {left_out} AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM kept)),
+    pairs AS (
+        SELECT a.word, b.word AS near, b.n AS near_n FROM less a JOIN less b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+        UNION SELECT a.word, b.word, b.n FROM less a JOIN kept b ON a.rest = b.word
+        UNION SELECT b.word, a.word, a.n FROM less a JOIN kept b ON a.rest = b.word),
+    ranked AS (
+        SELECT word, near, near_n, count(*) OVER (PARTITION BY word) AS n_near,
+               row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near COLLATE "C") AS place FROM pairs),
+    formed AS (
+        SELECT k.word, k.n, coalesce(r.n_near, 0)::BIGINT AS n_near,
+               CASE WHEN r.near_n >= 5 * k.n THEN r.near END AS form,
+               CASE WHEN r.near_n >= 5 * k.n THEN r.near_n END AS form_n
+        FROM kept k LEFT JOIN (SELECT * FROM ranked WHERE place = 1) r USING (word)),
+    way AS (
+        SELECT word, coalesce(form, word) AS root, form IS NULL AS ended FROM formed
+        UNION ALL
+        SELECT w.word, coalesce(f.form, f.word), f.form IS NULL FROM way w JOIN formed f ON w.root = f.word WHERE NOT w.ended)
+    SELECT word, n, n_near, form, form_n, root FROM formed JOIN way USING (word) WHERE ended"""
+
+
+ORACLES["op11_spelling"] = spelling_sql()

@@ -16,12 +16,15 @@ from . import (
     neighbours,
     packing,
     passages,
+    sharding,
     shared,
     simhash,
+    spelling,
     toxicity,
+    whitening,
 )
 from .oracles import ORACLES  # noqa: F401
-from .settings import MIX, SITE, TOXIC_FROM, VOCABULARY, vocabulary
+from .settings import MIX, SHARDS, SITE, TOXIC_FROM, VOCABULARY, vocabulary
 from .shared import documents, embeddings, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -143,3 +146,54 @@ def op1_hnsw(spark: SparkSession, sf: str) -> DataFrame:
 @_registered
 def op4_passages(spark: SparkSession, sf: str) -> DataFrame:
     return passages.shared_passages(documents(spark, sf))
+
+
+@_registered
+def op13_sharding(spark: SparkSession, sf: str) -> DataFrame:
+    """Shard and slot of every document; shards differ by at most one row."""
+    text = F.coalesce("text", F.lit(""))
+    rows = documents(spark, sf).select(
+        "doc_id",
+        (F.octet_length(text) + F.lit(1).cast("long")).alias("size"),
+        F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
+    )
+    placed = sharding.assign(rows, **SHARDS, order=("doc_id", "size", "text_crc32"))
+    return placed.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+        "shard_row",
+    )
+
+
+@_registered
+def op12_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    """Up to eight whitened components of every vector, fitted on all of them."""
+    vectors = embeddings(spark, sf).select("vec_id", "embedding")
+    model = whitening.fit(vectors)
+    error = whitening.identity_error(vectors, model)
+    found = whitening.whiten(vectors, model)
+    parts = model.variances[:8] / max(model.variances.sum(), 1e-300)
+    explained = F.array(*[F.lit(float(x)) for x in parts]).cast("array<double>")
+    return found.select(
+        "vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened")
+    ).select(
+        "vec_id",
+        (F.col("at") + 1).alias("component"),
+        F.lit(model.n).cast("long").alias("n"),
+        "deviation",
+        "whitened",
+        F.element_at(explained, F.col("at") + 1).alias("explained"),
+        F.lit(error).cast("double").alias("identity_error"),
+    )
+
+
+@_registered
+def op11_spelling(spark: SparkSession, sf: str) -> DataFrame:
+    """Every word of six letters and five occurrences with its form and root."""
+    words = spelling.count_words(documents(spark, sf), drop_every=199, min_length=6, min_count=5)
+    return spelling.variants(words, times=5)

@@ -22,6 +22,8 @@ MIX = {
     "seed": 7,
 }
 
+SHARDS = {"shards": 8, "seed": 7}
+
 
 def vocabulary(name: str) -> str:
     """Path of a public tokenizer's file."""

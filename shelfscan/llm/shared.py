@@ -55,6 +55,14 @@ def worker_state(name: str, make):
     return held[name]
 
 
+def unused(columns: list[str], name: str) -> str:
+    """``name`` with as many underscores as it takes to differ from all ``columns``."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def usable(vector: str):
     """True for vectors that are not null, not zero, and hold only finite components."""
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
