@@ -92,8 +92,10 @@ def _cards(card: str) -> str:
     )
 
 
-def _pages(orders: DataFrame, platform: str, html: str) -> DataFrame:
+def _pages(orders: DataFrame, platform: str, html: str, captured: str | None = None) -> DataFrame:
+    time = [f"cast({captured} as timestamp) as captured_at"] if captured else []
     return spread(orders).selectExpr(
+        *time,
         f"'{platform}' as platform",
         f"{_TERM.format(div='div')} as search_term",
         f"{_PAGE.format(div='div')} as page_number",
@@ -110,14 +112,14 @@ def id_pages(spark: SparkSession, sf: str) -> DataFrame:
     return id_pages_of(table(spark, sf, "orders"))
 
 
-def listing_pages_of(orders: DataFrame) -> DataFrame:
+def listing_pages_of(orders: DataFrame, captured: str | None = None) -> DataFrame:
     """Pages of the offset-style platform: rich layout, basic on every third order."""
     body = f"if(o_orderkey % 3 = 0, {_cards(_BASIC_CARD)}, {_cards(_RICH_CARD)})"
     html = (
         "concat('<!DOCTYPE html><html><head><title>Busca</title><script>var a = \"<li>\";</script></head>"
         f"<body><ol class=\"ui-search-layout\">', {body}, '</ol></body></html>')"
     )
-    return _pages(orders, "mercadolivre", html)
+    return _pages(orders, "mercadolivre", html, captured)
 
 
 def id_pages_of(orders: DataFrame) -> DataFrame:

@@ -42,24 +42,30 @@ def requests_from(df: DataFrame) -> DataFrame:
     )
 
 
+def request_ends(events: DataFrame, request_id: str = "request_id") -> DataFrame:
+    """One row per request: its start and end, null where that event is not there, and the
+    values of the end."""
+    ended = F.col("kind") == "end"
+    return events.groupBy(request_id).agg(
+        F.max(F.when(F.col("kind") == "start", F.col("ts"))).alias("start_time"),
+        F.max(F.when(ended, F.col("ts"))).alias("end_time"),
+        *[F.max(F.when(ended, F.col(c))).alias(c)
+          for c in ("success", "response_size", "error_type", "retry_count")],
+    )
+
+
 def pair_requests(events: DataFrame, request_id: str = "request_id") -> DataFrame:
     """One row per request from its start and end events.
 
     An end without a start counts as started when it ended; a start without an
     end is still active.
     """
-    ended = F.col("kind") == "end"
-    when_end = {c: F.max(F.when(ended, F.col(c))).alias(c)
-                for c in ("success", "response_size", "error_type", "retry_count")}
-    return (
-        events.groupBy(request_id)
-        .agg(
-            F.max(F.when(F.col("kind") == "start", F.col("ts"))).alias("start_time"),
-            F.max(F.when(ended, F.col("ts"))).alias("end_time"),
-            *when_end.values(),
-        )
-        .withColumn("active", F.col("end_time").isNull())
-        .withColumn("start_time", F.coalesce("start_time", "end_time"))
+    return with_active(request_ends(events, request_id))
+
+
+def with_active(ends: DataFrame) -> DataFrame:
+    return ends.withColumn("active", F.col("end_time").isNull()).withColumn(
+        "start_time", F.coalesce("start_time", "end_time")
     )
 
 

@@ -2,7 +2,6 @@
 
 import json
 
-import pytest
 from pyspark.sql import functions as F
 
 from shelfscan.operators import health as hl
@@ -11,7 +10,6 @@ from shelfscan.operators import products as pr
 from shelfscan.operators import requests as rq
 from shelfscan.operators import results as rs
 from shelfscan.sources import readers, writers
-from shelfscan.streaming import streams as st
 
 
 def product_rows(spark, pages=5, per_page=3):
@@ -154,22 +152,3 @@ def test_health_of_an_idle_host(spark):
     assert hl.overall_status(frame, ["host"]).first().overall_status == "critical"
     action = hl.recommended_actions(frame).first()
     assert (action.action, action.cleanup_mode) == ("high_memory", "aggressive")
-
-
-@pytest.fixture
-def breach_files(spark, tmp_path):
-    rows = [("high_cpu", 37 * i % 5000 + 5000 * (i // 200)) for i in range(1000)]
-    table = spark.createDataFrame(rows, "alert_type string, s long").withColumn("ts", F.timestamp_seconds("s"))
-    for part in range(5):
-        table.filter(F.floor(F.col("s") / 5000) == part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    return str(tmp_path / "in"), table
-
-
-def test_stream_alerts_keep_state_between_batches(spark, breach_files, tmp_path):
-    path, table = breach_files
-    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    out = st.run_to_table(
-        st.stream_alerts(stream, ["alert_type"], 300), str(tmp_path / "out"), str(tmp_path / "cp")
-    )
-    batch = hl.alerts(table, ["alert_type"], 300, chunk_gaps=4)
-    assert sorted(r.ts for r in out.collect()) == sorted(r.ts for r in batch.select("ts").collect())
