@@ -109,10 +109,16 @@ def _(spark, sf):
 
 
 @query("p6_extract_all", with_views("""
-select platform, search_term, page_number, position_on_page, title, coalesce(price, 'N/A') as price from listing_products
-union all select platform, search_term, page_number, position_on_page, title, coalesce(price, 'N/A') from id_products
+select platform, search_term, page_number, position_on_page, title, coalesce(price, 'N/A') as price, null as error_type from listing_products
+union all select platform, search_term, page_number, position_on_page, title, coalesce(price, 'N/A'), null from id_products
 union all select 'shopee', url, 1, 0,
-  'No extractor registered for platform: shopee; available: mercadolivre, amazon', 'N/A' from pages""",
+  'No extractor registered for platform: shopee; available: mercadolivre, amazon', 'N/A', 'ValueError' from pages
+union all select platform, search_term, page_number, 0, 'No content received from page', 'N/A', 'NetworkException'
+  from (select platform, search_term, page_number, o_orderkey from listing_pages
+    union all select platform, search_term, page_number, o_orderkey from id_pages) where o_orderkey % 20 = 0
+union all select platform, search_term, page_number, 0, concat('HTML vazio ou inválido na página ', page_number), 'N/A', 'ValidationException'
+  from listing_pages where o_orderkey % 20 = 10
+union all select platform, search_term, page_number, 0, 'Blocking detected', 'N/A', 'BlockedException' from id_pages where blocked""",
                                     "listing_products", "id_products"))
 def _(spark, sf):
     foreign = table(spark, sf, "pages").select(
@@ -122,9 +128,9 @@ def _(spark, sf):
     pages = listing_pages(spark, sf).unionByName(id_pages(spark, sf)).unionByName(foreign)
     products, rejected = sp.extract_all(pages)
     columns = ["platform", "search_term", "page_number", "position_on_page", "title", "price"]
-    return products.select(*columns).unionByName(
+    return products.select(*columns, F.lit(None).cast("string").alias("error_type")).unionByName(
         rejected.select(
             "platform", "search_term", "page_number", F.lit(0).alias("position_on_page"),
-            F.col("error_message").alias("title"), F.lit("N/A").alias("price"),
+            F.col("error_message").alias("title"), F.lit("N/A").alias("price"), "error_type",
         )
     )

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfscan.session import apply_settings, scratch_folder
@@ -32,17 +30,3 @@ def stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 scratch = scratch_folder
-
-_WRITTEN: dict[tuple[str, str, str], str] = {}
-
-
-def written_once(
-    spark: SparkSession, sf: str, name: str, make: Callable[[SparkSession, str], DataFrame]
-) -> DataFrame:
-    """A derived table that several queries start from, written once per application."""
-    key = (spark.sparkContext.applicationId, sf, name)
-    if key not in _WRITTEN:
-        path = f"{scratch(spark)}/{name}"
-        make(spark, sf).write.parquet(path)
-        _WRITTEN[key] = path
-    return spark.read.parquet(_WRITTEN[key])

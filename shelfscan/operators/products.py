@@ -119,19 +119,21 @@ def card_identity() -> tuple[Column, Column]:
     return item, title
 
 
-def id_products(cards: DataFrame, legacy: bool = False) -> DataFrame:
+def id_products(cards: DataFrame, legacy: bool = False, outer: bool = False) -> DataFrame:
     """Products of id-carrying cards; cards without id or title are dropped.
 
-    Adds ``item_id`` and ``has_badge`` beside the output fields.
+    Adds ``item_id`` and ``has_badge`` beside the output fields. ``outer`` keeps the others too,
+    with a null ``item_id``.
     """
 
     def text(rule: str) -> Column:
         return F.expr(first_match_text(R.ID_RULES[rule], CARD_IN_PAGE))
 
     item, title = card_identity()
-    identified = cards.withColumns({"item_id": item, "title": title}).filter(
-        F.col("item_id").isNotNull() & F.col("title").isNotNull()
-    )
+    whole = item.isNotNull() & title.isNotNull()
+    identified = cards.withColumns({"item_id": F.when(whole, item), "title": title})
+    if not outer:
+        identified = identified.filter(F.col("item_id").isNotNull())
     # texts first, numbers from them next: each text is looked up once
     raw = identified.select(
         *_keys(cards),

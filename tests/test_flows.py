@@ -18,28 +18,23 @@ def product_rows(spark, pages=5, per_page=3):
     return pr.normalise_products(found, ["platform", "search_term"])
 
 
-def results(spark, **options):
+def results(spark):
     products = product_rows(spark)
     searches = spark.createDataFrame(
         [("m", "café", True, None), ("m", "nada", True, "")],
         "platform string, search_term string, success boolean, error_message string",
     ).withColumns({"timestamp": F.lit("2025-01-01").cast("timestamp"), "execution_time": F.lit(1.5)})
     pages = products.select("platform", "search_term", "page_number").distinct()
-    return rs.search_results(searches, pages, products, **options)
+    return rs.search_results(searches, pages, products)
 
 
 def test_results_are_ordered_and_complete(spark):
     rows = {r.search_term: r for r in results(spark).collect()}
     assert [p.title for p in rows["café"].products] == [f"t{p}-{i}" for p in range(1, 6) for i in range(1, 4)]
-    assert (rows["café"].total_products, rows["café"].pages_crawled, rows["café"].part) == (15, 5, 0)
+    assert (rows["café"].total_products, rows["café"].pages_crawled) == (15, 5)
     assert (rows["nada"].total_products, rows["nada"].products) == (0, [])
 
 
-def test_long_searches_continue_in_parts(spark):
-    rows = sorted((r.part, len(r.products), r.total_products) for r in results(spark, pages_per_part=2).collect() if r.search_term == "café")
-    assert rows == [(0, 6, 15), (1, 6, 15), (2, 3, 15)]
-
-
 def test_error_rows_and_summary(spark):
     errors = spark.createDataFrame([("x", "m", "boom", "NetworkException")], "search_term string, platform string, error_message string, error_type string")
     rows = {r.search_term: r for r in rs.search_summary(rs.error_results(errors, results(spark))).collect()}
