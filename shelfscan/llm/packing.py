@@ -12,6 +12,8 @@ from their ranks, which Spark numbers in salted buckets of each length.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 
 import numpy as np
@@ -26,48 +28,118 @@ from .shared import cut, worker_state
 PIECES = (
     "doc_id long, piece int, start long, length long, ids_crc32 long"
 )
-_BUCKETS = 64
+_BUCKETS, _BUCKET_ROWS = 64, 20_000
 _KNOWN = 300_000
+_CHARS = 1 << 20
 
 
-def _encoder(path: str):
-    """Token bytes of single words: the vocabulary never joins words across white space."""
-    import os
+# How vocabularies that drop white space normalise and split a text.
+_NORMAL = [("NFC", None), ("Replace", r"\s+"), ("Lowercase", None)]
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# The same for lower-cased ASCII and Latin-1 letters, where it needs no Unicode tables.
+_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \t-\ra-zß-öø-ÿ0-9]+")
+_SIMPLE = re.compile(r"[\x00-\x7fÀ-ÖØ-öø-ÿ]*\Z")
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path), [{}, {}]
+class _Encoder:
+    """Token ids of texts as little-endian 32-bit numbers.
 
+    Where the vocabulary splits texts as above, a simple text is split here, and the ids of its
+    parts (words, digits, runs of other signs) come from a bounded cache; unknown parts of many
+    texts are encoded together. Other texts and vocabularies go to the tokenizer whole. The
+    cache has two halves: parts in the older one move to the newer when they are used, and the
+    older is given up when the newer is full, so that common parts stay.
+    """
 
-def _token_bytes(text: str, tokenizer, known: list[dict[bytes, bytes]]) -> bytes:
-    """Little-endian 32-bit ids of a text, one word at a time through a bounded cache.
+    def __init__(self, path: str) -> None:
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.whole = Tokenizer.from_file(path)
+        self.parts = None
+        self.known: list[dict[str, bytes | None]] = [{}, {}]
+        with open(path, encoding="utf-8") as file:
+            told = json.load(file)
+        rules = [
+            (n["type"], n.get("pattern", {}).get("Regex"))
+            for n in (told.get("normalizer") or {}).get("normalizers", [])
+        ]
+        splits = (told.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        patterns = [p["pattern"].get("Regex") for p in splits if p["type"] == "Split"]
+        suffix = told["model"].get("end_of_word_suffix")
+        if rules == _NORMAL and patterns == [_PATTERN] and len(splits) == 2 and suffix:
+            self.parts = Tokenizer(self.whole.model)
+            self.parts.pre_tokenizer = pre_tokenizers.Sequence(
+                [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(False, use_regex=False)]
+            )
+            self.last = np.zeros(self.whole.get_vocab_size() + 1, dtype=bool)
+            self.last[[i for t, i in self.whole.get_vocab().items() if t.endswith(suffix)]] = True
+            # Special tokens in a text are the tokenizer's business.
+            self.special = [t["content"] for t in told.get("added_tokens", [])]
+
+    def _simple(self, text: str) -> bool:
+        return (
+            self.parts is not None
+            and (text.isascii() or _SIMPLE.match(text) is not None)
+            and not any(t in text for t in self.special)
+        )
 
-    The cache has two halves: words of the older one move to the newer when they are used, and
-    the older is given up when the newer is full, so that common words stay.
-    """
-    words = text.encode("utf-8", "replace").split()
-    found = list(map(known[0].get, words))
-    if None in found:
-        if len(known[0]) > _KNOWN:
-            known[:] = [{}, known[0]]
-        new, old = known
+    def _learn(self, unknown: list[str]) -> None:
+        for at in range(0, len(unknown), 2_000):
+            some = unknown[at : at + 2_000]
+            ids = np.array(self.parts.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            # A part's last token is one that ends a word.
+            ends = (np.flatnonzero(self.last[ids]) + 1) * 4
+            if len(ends) != len(some):
+                for part in some:
+                    one = self.whole.encode(part, add_special_tokens=False).ids
+                    self.known[0][part] = np.array(one, "<u4").tobytes()
+                continue
+            raw, first = ids.tobytes(), 0
+            for part, end in zip(some, ends.tolist()):
+                self.known[0][part] = raw[first:end]
+                first = end
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.known[0]) > _KNOWN:
+            self.known = [{}, self.known[0]]
+        new, old = self.known
+        split = [_SPLIT.findall(t.lower()) if self._simple(t) else None for t in texts]
+        found = [None if parts is None else list(map(new.get, parts)) for parts in split]
         unknown = []
-        for word in {w for w, ids in zip(words, found) if ids is None}:
-            ids = old.get(word)
-            if ids is None:
-                unknown.append(word)
+        for parts, ids in zip(split, found):
+            if ids is None or None not in ids:
+                continue
+            for part in [p for p, i in zip(parts, ids) if i is None]:
+                if part not in new:
+                    new[part] = old.get(part)
+                    if new[part] is None:
+                        unknown.append(part)
+        self._learn(unknown)
+        out = []
+        for text, parts, ids in zip(texts, split, found):
+            if parts is None:
+                whole = self.whole.encode(text, add_special_tokens=False).ids
+                out.append(np.array(whole, "<u4").tobytes())
             else:
-                new[word] = ids
-        for at in range(0, len(unknown), 20_000):
-            part = unknown[at : at + 20_000]
-            coded = tokenizer.encode_batch_fast(
-                [w.decode() for w in part], add_special_tokens=False
-            )
-            for word, ids in zip(part, coded):
-                new[word] = np.array(ids.ids, "<u4").tobytes()
-        found = [new[w] if ids is None else ids for w, ids in zip(words, found)]
-    return b"".join(found)
+                out.append(b"".join(map(new.__getitem__, parts) if None in ids else ids))
+        return out
+
+
+def _some(batch: pa.RecordBatch):
+    """The ids and texts of a batch, about _CHARS characters at a time."""
+    ids, texts, size = [], [], 0
+    for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+        ids.append(doc_id)
+        texts.append(text.as_py() or "")
+        size += len(texts[-1])
+        if size > _CHARS:
+            yield ids, texts
+            ids, texts, size = [], [], 0
+    if ids:
+        yield ids, texts
 
 
 def pieces(
@@ -76,19 +148,21 @@ def pieces(
     """Cut every document's ids (its text's, then ``end_id``) into pieces of ``capacity``.
 
     Null text counts as empty: one piece with the end id alone. Rows with equal or null
-    doc_id are separate documents. Other columns are ignored.
+    doc_id are separate documents. Other columns, whatever their names, are ignored. A text of
+    any length is encoded whole, in the memory of one task.
     """
     ending = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        tokenizer, known = worker_state(f"words {vocabulary}", lambda: _encoder(vocabulary))
+        encoder = worker_state(f"words {vocabulary}", lambda: _Encoder(vocabulary))
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = _token_bytes(text.as_py() or "", tokenizer, known) + ending
-                for n, at in enumerate(range(0, len(ids), capacity * 4)):
-                    part = ids[at : at + capacity * 4]
-                    out.append((doc_id, n, at // 4, len(part) // 4, zlib.crc32(part)))
+            for doc_ids, texts in _some(batch):
+                for doc_id, ids in zip(doc_ids, encoder.encode(texts)):
+                    ids += ending
+                    for n, at in enumerate(range(0, len(ids), capacity * 4)):
+                        part = ids[at : at + capacity * 4]
+                        out.append((doc_id, n, at // 4, len(part) // 4, zlib.crc32(part)))
             columns = list(zip(*out)) if out else [[]] * 5
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays(
@@ -192,10 +266,19 @@ def pack(cut_pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces; few sequences, offsets without holes.
 
     ``cut_pieces`` must give the same rows each time it is read (a table or checkpoint).
-    Pieces longer than ``capacity`` or without tokens are an error of the caller.
+    Pieces longer than ``capacity`` or without tokens are an error of the caller. Pieces that
+    fill a sequence need no place among others: they get numbers below zero. Buckets of a length
+    grow in number with the pieces, so that none holds more than a task can sort.
     """
-    rows = cut_pieces.withColumn(
-        "bucket_", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(_BUCKETS))
+    full = cut_pieces.filter(F.col("length") == capacity).select(
+        "*",
+        (F.lit(-1) - F.monotonically_increasing_id()).alias("sequence_id"),
+        F.lit(0).cast("long").alias("offset"),
+    )
+    others = cut_pieces.filter(F.col("length") < capacity)
+    buckets = max(_BUCKETS, others.count() // _BUCKET_ROWS)
+    rows = others.withColumn(
+        "bucket_", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets))
     )
     by_bucket = rows.groupBy("length", "bucket_").agg(F.count("*").alias("n_"))
     counts = {r[0]: r[1] for r in by_bucket.groupBy("length").agg(F.sum("n_")).collect()}
@@ -238,6 +321,7 @@ def pack(cut_pieces: DataFrame, capacity: int = 4096) -> DataFrame:
         .withColumn("sequence_id", F.col("place_.sequence_id"))
         .withColumn("offset", F.col("place_.offset"))
         .drop("rank_", "place_")
+        .unionByName(full)
     )
 
 
