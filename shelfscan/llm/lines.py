@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, inner
 
 _LG_K = 10
 _SLICES = 16
@@ -73,37 +73,53 @@ def remove_boilerplate(docs: DataFrame, site: str, min_sites: int = 10) -> DataF
     Lines end at a line feed and are compared without outer spaces; blank lines are kept and
     never counted. ``site`` is an SQL expression; a null site counts for no line. A text that
     loses all its lines becomes empty, a null text stays null with 0 lines. Rows with equal or
-    null ids are separate documents. Clashing column names n_lines, n_removed are replaced.
+    null ids are separate documents. Texts of any length are split whole, in the memory of one
+    task. Input columns n_lines and n_removed are replaced; other names may be any. An empty table
+    gives an empty result.
     """
-    kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    rows = docs.select(*kept, F.expr(site).cast("string").alias("site_"))
+    rows, names = inner(
+        docs,
+        ("text", "n_lines", "n_removed"),
+        text=F.col("text"),
+        key=F.xxhash64("doc_id", "text"),
+        site=F.expr(site).cast("string"),
+    )
     found = rows.select(
-        F.xxhash64("site_").alias("mark_"), "site_", F.inline(_line_hashes("text"))
+        F.when(F.col("site").isNotNull(), F.xxhash64("site")).alias("mark"),
+        F.inline(_line_hashes("text")),
     )
-    sites = found.select("hash", F.when(F.col("site_").isNotNull(), F.col("mark_")).alias("site"))
-    bad = cut(widespread(sites, min_sites))
+    bad = cut(widespread(found.select("hash", F.col("mark").alias("site")), min_sites))
     if bad.count() <= _BROADCAST_ROWS:
         bad = F.broadcast(bad)
     # Which documents hold a bad line: by document content, so that equal rows share a key.
-    key = F.xxhash64("doc_id", "text")
     held = (
-        rows.select(key.alias("row_"), F.inline(_line_hashes("text")))
+        rows.select("key", F.inline(_line_hashes("text")))
         .join(bad, "hash", "left_semi")
         .distinct()
-        .groupBy("row_")
-        .agg(F.collect_set("hash").alias("bad_"))
+        .groupBy("key")
+        .agg(F.collect_set("hash").alias("bad"))
     )
-    joined = rows.withColumn("row_", key).join(held, "row_", "left")
+    joined = rows.join(held, "key", "left")
     lines = F.split("text", "\n")
     left = F.filter(
         lines,
-        lambda x: (F.trim(x) == "") | ~F.array_contains("bad_", F.xxhash64(F.trim(x))),
+        lambda x: (F.trim(x) == "") | ~F.array_contains("bad", F.xxhash64(F.trim(x))),
     )
-    text = F.when(F.col("bad_").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    text = F.when(F.col("bad").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
-    removed = F.when(F.col("bad_").isNull(), 0).otherwise(F.size(lines) - F.size(left))
-    return joined.select(
-        *[text.alias("text") if c == "text" else F.col(c) for c in kept],
-        n_lines.cast("long").alias("n_lines"),
-        removed.cast("long").alias("n_removed"),
+    removed = F.when(F.col("bad").isNull(), 0).otherwise(F.size(lines) - F.size(left))
+    done = joined.select(
+        *names.values(),
+        text.alias("left"),
+        n_lines.cast("long").alias("lines"),
+        removed.cast("long").alias("removed"),
+    )
+    return done.select(
+        *[
+            F.col(names.get(c, "left")).alias(c)
+            for c in docs.columns
+            if c in names or c.lower() == "text"
+        ],
+        F.col("lines").alias("n_lines"),
+        F.col("removed").alias("n_removed"),
     )

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, inner
 
 # Plans of up to so many rows (under 100 bytes each) go to every executor.
 _BROADCAST_ROWS = 100_000
@@ -112,19 +112,25 @@ def mix(
     ``mix_copies`` (at least 1): how often the document is to be used. Documents that are not
     chosen have no row. Repeated rows and null ids are documents of their own, ordered by the
     hash of id and text; equal rows are chosen together only if the prefix holds them all or
-    by position where it ends among them. Empty tables give an empty result.
+    by position where it ends among them. Texts of any length are counted whole. Input columns
+    mix_0.., mix_tokens and mix_copies are replaced; other names may be any. Empty tables give an
+    empty result.
     """
     names = list(levels)
+    made = (*[f"mix_{i}" for i in range(len(names))], "mix_tokens", "mix_copies")
     text = F.coalesce("text", F.lit(""))
     bare = F.replace(F.replace(text, F.lit(" "), F.lit("")), F.lit("\n"), F.lit(""))
     words = 1 + F.octet_length(text) - F.octet_length(bare)
-    rows = docs.select(
-        "*",
-        *[
-            F.coalesce(F.expr(e).cast("string"), F.lit("unknown")).alias(f"level_{i}")
+    rows, inputs = inner(
+        docs,
+        made,
+        doc_id=F.col("doc_id"),
+        hash=F.xxhash64("text"),
+        mix_tokens=words.cast("long"),
+        **{
+            f"level_{i}": F.coalesce(F.expr(e).cast("string"), F.lit("unknown"))
             for i, e in enumerate(levels.values())
-        ],
-        words.cast("long").alias("mix_tokens"),
+        },
     )
     path = [f"level_{i}" for i in range(len(names))]
     leaves = rows.groupBy(*path).agg(
@@ -173,7 +179,7 @@ def mix(
     simple = known.filter("take_ <> 'part'").withColumn(
         "extra_", (F.col("take_") == "all").cast("long")
     )
-    inside = W.partitionBy(*path, "range_").orderBy("place_", "doc_id", "mix_tokens", F.xxhash64("text"))
+    inside = W.partitionBy(*path, "range_").orderBy("place_", "doc_id", "mix_tokens", "hash")
     last = known.filter("take_ = 'part'").withColumn(
         "extra_",
         (
@@ -184,7 +190,7 @@ def mix(
     )
     chosen = simple.unionByName(last).withColumn("mix_copies", F.col("whole") + F.col("extra_"))
     return chosen.filter("mix_copies > 0").select(
-        *docs.columns,
+        *[F.col(n).alias(c) for c, n in inputs.items()],
         *[F.col(c).alias(f"mix_{i}") for i, c in enumerate(path)],
         "mix_tokens",
         "mix_copies",

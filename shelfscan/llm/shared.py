@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -63,6 +63,19 @@ def unused(columns: list[str], name: str) -> str:
     return name
 
 
+def inner(docs: DataFrame, without: tuple[str, ...], **more: Column) -> tuple[DataFrame, dict]:
+    """``docs`` under names of this folder, so that no column of theirs clashes with inner ones.
+
+    Columns are called in_0_, in_1_, ...; ``more`` are columns computed over ``docs``. Returns the
+    rows, and for each column of ``docs`` that is not in ``without`` its inner name.
+    """
+    names = {c: f"in_{i}_" for i, c in enumerate(docs.columns) if c.lower() not in without}
+    rows = docs.select(
+        *[F.col(f"`{c}`").alias(n) for c, n in names.items()], *[v.alias(n) for n, v in more.items()]
+    )
+    return rows, names
+
+
 def usable(vector: str):
     """True for vectors that are not null, not zero, and hold only finite components."""
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))

@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import cut
+from .shared import cut, inner
 
 _BLOCK = 200_000
 
@@ -53,22 +53,26 @@ def _fingerprint(text: str, width: int) -> int:
     return int(set_bits.view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
+def fingerprints(docs: DataFrame, width: int = 3, more: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, fingerprint) of whole texts; one row for each row of ``docs``.
 
-    ASCII letters are lower-cased; words are runs of anything but ASCII white space; fewer
+    ``more`` are whole-number columns to keep beside them. ASCII letters are lower-cased; words are runs of anything but ASCII white space; fewer
     words than ``width`` make one shingle; no word, or a null text, gives fingerprint 0.
     """
 
     def run(batches):
         for batch in batches:
-            values = [_fingerprint(t.as_py() or "", width) for t in batch.column(1)]
+            values = [_fingerprint(t.as_py() or "", width) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(values, pa.int64())], names=["doc_id", "fingerprint"]
+                [*batch.columns[1:], pa.array(values, pa.int64())],
+                names=["doc_id", *more, "fingerprint"],
             )
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, fingerprint long")
+    rows = docs.select(
+        F.col("text").cast("string"), F.col("doc_id").cast("long"), *[F.col(c).cast("long") for c in more]
+    )
+    kind = ", ".join(f"{c} long" for c in ("doc_id", *more, "fingerprint"))
+    return rows.mapInArrow(run, kind)
 
 
 def _segments(bits: int) -> list[tuple[int, int]]:
@@ -156,6 +160,15 @@ def links(prints: DataFrame, bits: int = 2, crowd: int = 256) -> DataFrame:
     return pairs.union(_crowded_links(cut(crowded), segments, bits))
 
 
+def _rooted(prints: DataFrame, bits: int, crowd: int) -> DataFrame:
+    """(fp, least, root): each fingerprint's least doc_id, and the least fingerprint it reaches."""
+    least = prints.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").alias("least"))
+    found = components(links(least.select("fp"), bits, crowd)).withColumnsRenamed(
+        {"node": "fp", "component": "root"}
+    )
+    return least.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(
     docs: DataFrame, width: int = 3, bits: int = 2, crowd: int = 256
 ) -> DataFrame:
@@ -164,14 +177,34 @@ def near_duplicates(
     Documents whose fingerprints differ in at most ``bits`` bits are linked; component_id is
     the least doc_id reachable. Rows without words are linked like any other (fingerprint 0).
     Null doc_ids keep their row and take part, but never name a component. Repeated rows each
-    give a row. An empty table gives an empty result.
+    give a row. Very long texts are hashed in blocks of shingles; other columns, whatever their
+    names, are ignored. An empty table gives an empty result.
     """
     prints = cut(fingerprints(docs, width))
-    least = prints.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").alias("least"))
-    found = components(links(least.select("fp"), bits, crowd)).withColumnsRenamed(
-        {"node": "fp", "component": "root"}
-    )
-    rooted = least.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = _rooted(prints, bits, crowd)
     first = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(first, "root").select(F.col("fp").alias("fingerprint"), "component_id")
     return prints.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
+
+
+def representatives(
+    docs: DataFrame, width: int = 3, bits: int = 2, crowd: int = 256
+) -> DataFrame:
+    """All columns of one row of ``docs`` for each group of ``near_duplicates``.
+
+    It is the row with the least doc_id; rows with a null id come last, and equal ids are told
+    apart by a hash of the whole row. So texts that share an id but belong to different groups
+    each keep a row, and of equal rows one stays. Rows are known by two hashes of 64 bits over
+    all columns, and equal rows become one before the shuffle.
+    """
+    rows, names = inner(docs, (), text=F.col("text"), doc_id=F.col("doc_id").cast("long"))
+    own = list(names.values())
+    rows = rows.withColumns({"one": F.xxhash64(*own), "two": F.xxhash64(F.lit(1), *reversed(own))})
+    prints = cut(fingerprints(rows, width, ("one", "two")))
+    roots = _rooted(prints, bits, crowd).select(F.col("fp").alias("fingerprint"), "root")
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "one", "two")
+    chosen = prints.join(roots, "fingerprint").groupBy("root").agg(F.min(rank).alias("row"))
+    kept = rows.drop("text", "doc_id").dropDuplicates(["one", "two"])
+    return kept.join(chosen.select("row.one", "row.two"), ["one", "two"], "left_semi").select(
+        *[F.col(n).alias(c) for c, n in names.items()]
+    )

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, inner
 
 # Letters that a symbol may stand for.
 LEET = {
@@ -34,6 +34,7 @@ _ODD = re.compile(
     rf"[^\W\d_][{re.escape(_MARKS)}]|[{re.escape(_MARKS)}][^\W\d_]|([^\W\d_])\1\1"
 )
 _RUN = re.compile(r"(.)\1\1")
+_LONG_RUN = re.compile(r"(.)\1{3,}")
 # Repeated symbols around a token are decoration.
 _DECORATION = re.compile(r"^(?:([^\w\s])\1+|[*#!+|(])+|(?:([^\w\s])\2+|[*#!+|(])+$")
 _SEPARATED = re.compile(
@@ -122,26 +123,66 @@ def readings(token: str, model: np.ndarray, keep: int = 24) -> list[tuple[float,
     return sorted(ends, reverse=True)
 
 
+def _windows(text: str, width: int, overlap: int):
+    """The text in windows; what is no longer than ``overlap`` lies in one of them whole."""
+    for at in range(0, max(1, len(text) - overlap), width - overlap):
+        yield text[at : at + width]
+
+
+def _words_in(word: str, weigh) -> list[str]:
+    """Words that ``weigh`` knows inside a sequence of letters, the longest first at each place."""
+    found, at = [], 0
+    while at <= len(word) - 4:
+        for size in range(min(14, len(word) - at), 3, -1):
+            if weigh(word[at : at + size]) > 0:
+                found.append(word[at : at + size])
+                at += size - 1
+                break
+        at += 1
+    return found
+
+
 def restored(token: str, model: np.ndarray, weigh) -> list[str]:
-    """Words that a distorted token reads as; ``weigh`` tells words the classifier knows."""
-    if len(token) > _LONGEST:
+    """Words that a distorted token reads as; ``weigh`` tells words the classifier knows.
+
+    Runs of a sign are shortened before the token's length is looked at. A token that is still
+    long is read in overlapping windows, and words that the classifier knows as a whole, of five
+    letters or more, are added to its plain ones.
+    """
+    token = _LONG_RUN.sub(r"\1\1\1", token)
+    if len(token) <= _LONGEST:
+        found = readings(token, model)
+        if not found:
+            return []
+        return [max(found, key=lambda r: r[0] + (_KNOWN_WORD if weigh(r[1]) > 0 else 0.0))[1]]
+    whole = getattr(weigh, "whole", None)
+    if whole is None:
         return _WORD.findall(token)
-    found = readings(token, model)
-    if not found:
-        return []
-    return [max(found, key=lambda r: r[0] + (_KNOWN_WORD if weigh(r[1]) > 0 else 0.0))[1]]
+    more = {
+        word
+        for part in _windows(token, _LONGEST, 16)
+        for _, reading in readings(part, model)[:4]
+        for word in _words_in(reading, whole)
+        if len(word) > 4
+    }
+    plain = _WORD.findall(token)
+    return plain + sorted(more.difference(plain))
 
 
 def _unspaced(span: str, model: np.ndarray, weigh) -> list[str]:
-    """Words inside a sequence of single letters, found by the classifier's own words."""
-    letters = "".join(c for c in span if c not in _SEPARATORS)
-    options = [w for _, w in readings(letters[:_LONGEST * 4], model)[:8]]
-    for word in options:
-        for size in range(min(14, len(word)), 3, -1):
-            for at in range(len(word) - size + 1):
-                if weigh(word[at : at + size]) > 0:
-                    return [word[at : at + size]]
-    return options[:1]
+    """Words inside a sequence of single letters, found by the classifier's own words.
+
+    A span of any length is decoded in overlapping windows; all known words of a window's
+    likeliest reading that has some count, once for the span. Without any, its readings do.
+    """
+    letters = "".join(c for c in span if c not in _SEPARATORS and not c.isspace())
+    known: list[str] = []
+    plain: list[str] = []
+    for part in _windows(letters, _LONGEST * 4, 16):
+        options = [w for _, w in readings(part, model)[:8]]
+        plain.extend(options[:1])
+        known.extend(next(filter(None, (_words_in(w, weigh) for w in options)), []))
+    return sorted(set(known)) or plain
 
 
 def _read(token: str, model: np.ndarray, weigh) -> list[str]:
@@ -177,6 +218,7 @@ def _weigher(lexicon: dict[str, float]):
             found = max(found, get(word[:4] + "^", 0.0), get(word[:5] + "^", 0.0))
         return found
 
+    weigh.whole = lambda word: get(word, 0.0)
     return weigh
 
 
@@ -196,9 +238,11 @@ def _evidence(model: np.ndarray, lexicon: dict[str, float]):
             if len(known) > 250_000:
                 known.clear()
                 found = [None] * len(tokens)
+            long: dict[str, tuple[float, ...]] = {}
             for token in {t for t, f in zip(tokens, found) if f is None}:
-                known[token] = tuple(filter(None, map(weigh, _read(token, model, weigh))))
-            found = map(known.__getitem__, tokens)
+                weights = tuple(filter(None, map(weigh, _read(token, model, weigh))))
+                (known if len(token) <= 200 else long)[token] = weights
+            found = [known[t] if t in known else long[t] for t in tokens]
         hits = [w for weights in filter(None, found) for w in weights]
         for match in _SPACED.finditer(text):
             hits.extend(filter(None, map(weigh, _unspaced(match.group(), model, weigh))))
@@ -278,9 +322,11 @@ def score_toxicity(
     ``labelled``: (doc_id, toxic 0/1) rows to learn from; nulls are ignored, of repeated ids
     the larger label holds. The classifier is fitted on at most ``fit_rows`` of them, first by a
     hash of doc_id: half for the weights of words, half for the curve. The character model
-    counts all texts. Null text is empty; empty texts have the score of no evidence. Repeated
-    rows are scored alike. Without labels of both kinds every score is 0.5 or the base rate.
-    A column ``score`` in ``docs`` is replaced.
+    counts all texts. Of the features that tell toxic rows, learned from those rows alone, the
+    ``lexicon_size`` with the largest weights are kept. Null text is empty; empty texts have the
+    score of no evidence. Whole texts are read, however long, and so are long tokens and spelt-out
+    spans. Repeated rows are scored alike. Without labels of both kinds every score is 0.5 or the
+    base rate. A column ``score`` in ``docs`` is replaced; other names may be any.
     """
     order = F.xxhash64("doc_id", F.lit("fit"))
     chosen = (
@@ -302,11 +348,11 @@ def score_toxicity(
     rest = fit.filter("half = 1").select("text", F.col("toxic").cast("long").alias("toxic"))
     seen = np.array(_with_evidence(rest, model, lexicon).select("toxic", "evidence").collect())
     slope, base = _curve(seen[:, 1], seen[:, 0]) if len(seen) else (0.0, 0.0)
-    columns = [c for c in docs.columns if c != "score"]
-    curve = 1 / (1 + F.exp(-(F.lit(slope) * F.col("evidence_") + F.lit(base))))
-    rows = docs.select(F.col("text").cast("string").alias("text_"), *columns)
-    scored = _with_evidence(rows, model, lexicon).withColumnRenamed("evidence", "evidence_")
-    return scored.select(*columns, curve.alias("score"))
+    inputs, names = inner(docs, ("score",), plain=F.col("text").cast("string"))
+    curve = 1 / (1 + F.exp(-(F.lit(slope) * F.col("evidence") + F.lit(base))))
+    scored = _with_evidence(inputs.select("plain", *names.values()), model, lexicon)
+    scored = scored.select(*names.values(), curve.alias("curve"))
+    return scored.select(*[F.col(n).alias(c) for c, n in names.items()], F.col("curve").alias("score"))
 
 
 def _with_evidence(rows: DataFrame, model: np.ndarray, lexicon: dict[str, float]) -> DataFrame:

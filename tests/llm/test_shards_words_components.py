@@ -240,3 +240,164 @@ def test_no_rows_to_whiten(spark):
     assert whitening.fit(table.limit(0), "v").n == 0
     with pytest.raises(ValueError):
         whitening.fit(_vectors(spark, [[1.0], [2.0, 3.0]]), "v")
+
+
+# --- token ids ---------------------------------------------------------------------------
+
+
+def test_encoder_gives_the_tokenizers_ids():
+    import random
+
+    from tokenizers import Tokenizer
+
+    from shelfscan.llm import packing
+    from shelfscan.llm.settings import vocabulary
+
+    rng = random.Random(1)
+    signs = [chr(i) for i in range(256)] + ["'s", "'T", "12", "<|endoftext|>", "́", "日"] * 4 + list("abcABC ") * 9
+    texts = ["".join(rng.choice(signs) for _ in range(80)) for _ in range(500)]
+    plain = [s for s in signs if s.isascii() or s in "ÀÉßÿ"]
+    texts += ["".join(rng.choice(plain) for _ in range(80)) for _ in range(500)] + ["", " ", "don't " * 3000]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        path = vocabulary(name)
+        encoder, tokenizer = packing._Encoder(path), Tokenizer.from_file(path)
+        assert (encoder.parts is not None) == (name == "word_bpe_49k.json")
+        got = [ids for at in range(0, len(texts), 100) for ids in encoder.encode(texts[at : at + 100])]
+        for text, ids in zip(texts, got):
+            want = tokenizer.encode(text, add_special_tokens=False).ids
+            assert np.frombuffer(ids, "<u4").tolist() == want
+
+
+def test_full_pieces_have_sequences_of_their_own(spark):
+    from shelfscan.llm import packing
+
+    rows = [(i, 0, 0, [64, 64, 30, 20, 14][i % 5], i) for i in range(500)]
+    table = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    got = packing.pack(packing.cut(table.repartition(4)), 64).collect()
+    bins = defaultdict(list)
+    for r in got:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert len(got) == 500 and len(bins) == 300
+    for members in bins.values():
+        at = 0
+        for offset, length in sorted(members):
+            assert offset == at
+            at += length
+        assert at <= 64
+
+
+# --- clashing names, odd rows, long and spelt-out words ----------------------------------
+
+CLASHING = (
+    "rest level_0 level_1 weight_0 mix_tokens mix_0 whole take_ range_ place_ supply share hash ranges from_ sum_ "
+    "site site_ bad bad_ row_ key mark n_ n_lines line evidence evidence_ text_ plain score mix_time one two root fp "
+    "least in_0_ extra_0_ fingerprint component_id length sequence_id"
+).split()
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    """Odd rows whose columns have the names that operators use inside; each value tells its row."""
+    rows = [
+        (1, "one two three four five six seven", "en", "src1", 3),
+        (1, "one two three four five six seven", "en", "src1", 3),
+        (1, "another text under the same id, quite unlike", "en", "src1", 3),
+        (2, None, "en", None, None), (None, "no id here", None, "src2", 1), (3, "", "de", "src3", 0),
+        (4, "Ünïcode \x0b words\n\n\nand lines  ", "de", "src3", 9), (5, "word " * 30_000, "en", "src1", 150_000),
+    ]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    return table.withColumns(
+        {n: F.concat(F.lit(n), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))) for n in CLASHING}
+    )
+
+
+def _kept(rows, replaced=()):
+    for r in rows:
+        tag = "-" if r["doc_id"] is None else str(r["doc_id"])
+        for name in CLASHING:
+            if name not in replaced:
+                assert r[name] == name + tag, name
+
+
+def test_operators_keep_columns_of_any_name(spark, clashing):
+    from shelfscan.llm import lines, mixing, simhash, toxicity
+    from shelfscan.llm.settings import MIX
+
+    columns = clashing.columns
+    mixed = mixing.mix(clashing, **{**MIX, "budget_share": 2.0}).collect()
+    made = ("mix_0", "mix_tokens")
+    _kept(mixed, made)
+    assert len(mixed) == 8 and {r["mix_copies"] for r in mixed} == {2}
+    assert sorted(r["mix_tokens"] for r in mixed)[-1] == 30_001
+    left = lines.remove_boilerplate(clashing, "source", 2).collect()
+    _kept(left, ("n_lines",))
+    assert {r["doc_id"]: r["n_lines"] for r in left}[4] == 4 and list(left[0].asDict())[:5] == columns[:5]
+    labels = spark.createDataFrame([(1, 1), (3, 0), (None, 1), (4, None)], "doc_id long, toxic int")
+    scored = toxicity.score_toxicity(clashing, labels).collect()
+    _kept(scored, ("score",))
+    assert len(scored) == 8 and all(0 <= r["score"] <= 1 for r in scored)
+    one = simhash.representatives(clashing)
+    assert one.columns == columns
+    _kept(one.collect())
+
+
+def test_one_row_stays_of_each_group(spark):
+    from shelfscan.llm import simhash
+
+    text = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(1, text), (1, other), (2, other), (3, text), (3, text), (None, text), (None, "alone"), (None, "alone")]
+    rows += [(9, None), (8, ""), (7, "b b b")] + [(7, "b b b")] * 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted(map(tuple, simhash.representatives(docs).collect()), key=str)
+    assert got == sorted([(1, text), (1, other), (None, "alone"), (8, ""), (7, "b b b")], key=str)
+    assert simhash.representatives(docs.limit(0)).count() == 0
+
+
+def test_pipeline_stages_on_odd_rows(spark, clashing, tmp_path):
+    import corpus_pipeline
+
+    labels = spark.createDataFrame([(4, 0), (3, 0)], "doc_id long, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        done = stage(spark, clashing, str(tmp_path))
+        assert done.columns == clashing.columns, name
+        rows = done.collect()
+        _kept(rows)
+        ids = {r["doc_id"] for r in rows}
+        if name in ("line_dedup", "toxicity"):
+            assert len(rows) == 8, name
+        if name == "simhash_dedup":
+            assert len(rows) == 6 and len([r for r in rows if r["doc_id"] == 1]) == 2
+            # Null and empty texts have equal fingerprints.
+            assert ids == {None, 1, 2, 4, 5}
+    packed = corpus_pipeline.STAGES[-1][1](spark, clashing, str(tmp_path))
+    assert packed.filter("piece = 0").count() == 8
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, clashing.limit(0), str(tmp_path)).count() == 0
+
+
+@pytest.fixture(scope="module")
+def letters(spark):
+    from shelfscan.llm import toxicity
+
+    text = "you stupid moron this is a plain sentence of common words and idle talk " * 40
+    return toxicity.character_model(spark.createDataFrame([(text,)], "text string"))
+
+
+def test_long_spans_and_runs_are_decoded_whole(letters):
+    from shelfscan.llm import toxicity
+
+    evidence = toxicity._evidence(letters, {"stupid": 3.0, "moron": 2.0})
+    alone = evidence("you stupid")
+    assert alone == 3.0 and evidence("a plain sentence") == 0.0
+    filler = " ".join("plainsentence"[i % 13] for i in range(240))
+    assert evidence(f"{filler} s t u p i d") == alone
+    assert evidence("s t u p i d m o r o n") == 5.0
+    assert evidence(" ".join("stupid" + "plain" * 100 + "moron")) == 5.0
+    # Runs of any length, and long tokens.
+    assert evidence("st" + "u" * 50 + "pid") == alone
+    assert evidence("st" + "u" * 5000 + "pid") == alone
+    joined = "pl41n-s3nt3nc3-" * 30
+    assert evidence(joined) == 0.0 and evidence(joined + "stup1d-" + joined) == alone
+    assert len(toxicity._words_in("xxstupidmoronxx", lambda w: float(w in ("stupid", "moron")))) == 2
