@@ -6,24 +6,46 @@ writes each stage's result as Parquet to the shared checkpoint folder and reads
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelfscan.llm import lines, mixing, packing, simhash, toxicity
 from shelfscan.llm.settings import MIX, SITE, TOXIC_FROM, VOCABULARY, vocabulary
 
 
+FIELDS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _sheltered(stage):
+    """A stage that meets columns beside those of documents under names of its own making.
+
+    They come back under the names they had, whatever these are. Empty tables, null columns,
+    empty and very long texts, ties and repeated rows go through every stage as its operator
+    says.
+    """
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        own = {c: f"extra_{i}_" for i, c in enumerate(docs.columns) if c.lower() not in FIELDS}
+        done = stage(spark, docs.select(*[F.col(f"`{c}`").alias(own.get(c, c)) for c in docs.columns]), sf_dir)
+        return done.select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
+
+    return run
+
+
+@_sheltered
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score stays under the limit, as they came."""
+    """Documents whose score stays under the limit, as they came; null and empty texts stay."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = toxicity.score_toxicity(docs, labels)
     return scored.filter(F.col("score") < TOXIC_FROM).select(*docs.columns)
 
 
+@_sheltered
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that many sites hold; n_chars follows the text."""
     left = lines.remove_boilerplate(docs, SITE)
@@ -33,18 +55,16 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     ).select(*docs.columns)
 
 
+@_sheltered
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group: the one with the least doc_id.
+    """One document of each SimHash group: the one with the least doc_id, null ids last.
 
-    Of rows that repeat that id one is kept; rows without a group's id (all ids null) stay.
+    Texts of one id that are in different groups each stay; of equal rows one stays.
     """
-    found = simhash.near_duplicates(docs, width=3, bits=2)
-    keep = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    first = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns)))
-    kept = docs.join(keep, "doc_id", "left_semi").withColumn("n_", first).filter("n_ = 1")
-    return kept.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+    return simhash.representatives(docs, width=3, bits=2)
 
 
+@_sheltered
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents chosen to the target weights; one row for each time one is used."""
     mixed = mixing.mix(docs, **MIX)
@@ -53,7 +73,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents' tokens with their places in sequences."""
+    """Pieces of the documents' tokens with their places in sequences; other columns end here."""
     return packing.pack_documents(docs, vocabulary(VOCABULARY))
 
 
