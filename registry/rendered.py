@@ -46,12 +46,12 @@ _RICH_CARD = f"""concat(
   '</div></li>')"""
 
 _BASIC_CARD = f"""concat(
-  '<div class="ui-search-result__wrapper"><h2 class="ui-search-item__title">Oferta ', {_ID}, '</h2>',
-  '<span class="andes-money-amount__fraction">', {_brl(_P)}, '</span>',
-  '<a href="/relativo">r</a><a href="https://produto.mercadolivre.com.br/MLB', {_ID}, '">Link</a>',
-  '<span class="poly-component__seller">não lido</span>',
-  case when {_N} % 2 = 0 then concat('<img src="https://mlstatic.com/image', {_ID}, '.jpg">') else '<img alt="sem endereço">' end,
-  '</div>')"""
+  '<section><div class="row ui-search-result__wrapper">',
+  case when {_N} % 2 = 0 then concat('<figure><img data-src="//mlstatic.com/c/', {_ID}, '_V_.webp" src="data:,"></figure>') else '<figure><img alt="sem endereço"></figure>' end,
+  '<p class="poly-component__seller">não lido</p><a href="#topo">r</a>',
+  '<a class="ui-search-item__group__element" href="https://lista.mercadolivre.com.br/c/', {_ID}, '"><b>Oferta</b> <i>', {_ID}, '</i></a>',
+  '<p>R$ <span class="price-tag-fraction">', {_brl(_P)}, '</span></p>',
+  '</div></section>')"""
 
 _ID_CARD = f"""concat(
   '<div data-component-type="s-search-result" class="s-result-item sg-col" data-asin="',
@@ -153,7 +153,7 @@ LISTING_SQL = {
         {_P} as cents from listing_pages, unnest(generate_series(1, cards)) u(i)
         where not ({_BLANK})),
     listing_products as (select platform, search_term, page_number, cast(i as integer) as position_on_page, layout,
-      case when layout = 'classic' then concat('Oferta ', {_DID})
+      case when layout = 'classic' then concat('Oferta', {_DID})
         when n % 3 = 0 then concat('Peça & item', {_DID})
         else concat('Café ', o_orderpriority, ' ', {_DID}) end as title,
       cast(cents as varchar) as price,
@@ -163,10 +163,10 @@ LISTING_SQL = {
       case when layout = 'poly-card' and n % 3 = 1 then concat('4.', n % 10) end as rating,
       case when layout = 'poly-card' and n % 3 = 1 then concat('(', o_custkey, ' avaliações)') end as reviews_count,
       case when layout = 'poly-card' and n % 4 < 2 then 'Frete grátis' end as shipping,
-      case when layout = 'classic' then concat('https://produto.mercadolivre.com.br/MLB', {_DID})
+      case when layout = 'classic' then concat('https://lista.mercadolivre.com.br/c/', {_DID})
         when n % 3 = 0 then concat('https://www.mercadolivre.com.br/p/', {_DID})
         else concat('https://produto.mercadolivre.com.br/MLB-', {_DID}) end as product_url,
-      case when layout = 'classic' then case when n % 2 = 0 then concat('https://mlstatic.com/image', {_DID}, '.jpg') end
+      case when layout = 'classic' then case when n % 2 = 0 then concat('//mlstatic.com/c/', {_DID}, '_2X_.webp') end
         when n % 4 = 0 then concat('https://http2.mlstatic.com/D_NQ_', {_DID}, '_2X_.webp')
         when n % 4 = 1 then concat('//mlstatic.com/D_', {_DID}, '.webp')
         when n % 4 = 2 then concat('https://http2.mlstatic.com/D_2X_', {_DID}, '_V_.jpg') end as image_url,

@@ -69,17 +69,20 @@ def test_ratings_and_reviews(spark):
     ]
 
 
-VALID = [
-    "//mlstatic.com/D_NQ_1.webp", "https://a1.mlstatic.com/frames/9.png", "https://mlstatic.com/x/y/z.jpeg",
-    "https://http2.mlstatic.com/D_Q_NP_77_V_.jpg", "https://mercadolivre.com.br/fotos/mesa.gif",
-]
-INVALID = [
-    None, "\t", "", "https://example.org/fotos/mesa.jpg", "data:,", "mesa", "ftp://example.org/mesa.png",
-]
-
-
-def test_valid_image_url(spark):
-    assert column(spark, VALID + INVALID, links.valid_image_url) == [True] * 5 + [False] * 7
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.text(alphabet="ab/._-é", max_size=12), min_size=1, max_size=12))
+def test_valid_image_url(spark, middles):
+    """Long enough, a start that is accepted, and an accepted host anywhere: all three or not."""
+    cases = {}
+    for middle in middles:
+        for start in ("http", "https://", "//", "/", "ftp://", "", " //", "data:"):
+            for host in ("", "example.net", *links.IMAGE_DOMAINS):
+                value = start + host + middle
+                bare = value.strip()
+                accepted = len(bare) >= 10 and bare.startswith(("//", "http"))
+                cases[value] = accepted and any(d in bare for d in links.IMAGE_DOMAINS)
+    assert column(spark, list(cases), links.valid_image_url) == list(cases.values())
+    assert column(spark, [None, " \t "], links.valid_image_url) == [False, False]
 
 
 def test_image_variant(spark):
