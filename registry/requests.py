@@ -162,7 +162,11 @@ def _(spark, sf):
 
 
 @query("q13_performance_report", with_views(f"""
-with {_REPORT},
+with told as (select * replace (case when retry_count = 3 then concat(host, '-late') else host end as host) from requests),
+{_REPORT.replace("from requests", "from told")},
+failures as (select host, string_agg(concat(error_type, ':', n), ',' order by error_type) as errors
+  from (select host, coalesce(nullif(error_type, ''), 'Unknown') as error_type, count(*) as n
+    from told where not success and start_us >= {CUTOFF} group by 1, 2) group by 1),
 system as (select host, count(*) as snapshots_analyzed,
   sum(memory_usage_mb)::double / count(*) as memory_avg_mb,
   max(memory_usage_mb)::double as memory_max_mb, min(memory_usage_mb)::double as memory_min_mb,
@@ -187,10 +191,46 @@ select coalesce(r.host, s.host) as host, 21600 as period_minutes,
   case when s.host is not null then max_ms end as max_ms,
   case when s.host is not null then p50_ms end as p50_ms,
   case when s.host is not null then p95_ms end as p95_ms,
-  case when s.host is not null then p99_ms end as p99_ms
-from report r full join system s on r.host = s.host""", "requests", "samples"))
+  case when s.host is not null then p99_ms end as p99_ms,
+  case when r.host is not null and s.host is not null then coalesce(errors, '') end as errors
+from report r full join system s on r.host = s.host left join failures f on f.host = r.host""", "requests", "samples"))
 def _(spark, sf):
-    return rq.performance_report(samples(spark, sf), requests(spark, sf), ["host"], NOW, MINUTES)
+    # Requests retried three times go by a key that no sample has.
+    late = F.when(F.col("retry_count") == 3, F.concat("host", F.lit("-late"))).otherwise(F.col("host"))
+    told = requests(spark, sf).withColumn("host", late)
+    report = rq.performance_report(samples(spark, sf), told, ["host"], NOW, MINUTES)
+    each = F.transform(
+        F.array_sort(F.map_entries("errors")),
+        lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string")),
+    )
+    return report.withColumn("errors", F.array_join(each, ","))
+
+
+@query("q15_current_metrics", with_views("""
+with newest as (select host, ts_us, cast(memory_usage_mb as double) as memory_usage_mb, cpu_percent, open_files from samples
+  qualify row_number() over (partition by host order by ts_us desc, sample_id desc) = 1),
+totals as (select host, count(*) as total, count(*) filter (success) as successful, count(*) filter (not success) as failed,
+    cast(sum(response_size) as bigint) as total_bytes_downloaded from requests group by 1),
+last100 as (select * from requests qualify row_number() over (partition by host order by end_us desc, request_id desc) <= 100),
+ranked as (select *, row_number() over (partition by host order by duration_us) - 1 as pos,
+    count(*) over (partition by host) as n from last100),
+recent as (select host, count(*) filter (success) / count(*) * 100 as success_rate_percent,
+    sum(duration_us) / count(*) / 1000 as avg_response_time_ms,
+    max(duration_us) filter (pos = cast(floor(n * 0.95::double) as bigint)) / 1000 as p95_response_time_ms
+  from ranked group by host)
+select host, ts_us, memory_usage_mb, cpu_percent, open_files, total, successful, failed, 0 as active_requests,
+  total_bytes_downloaded, success_rate_percent, avg_response_time_ms, p95_response_time_ms
+from newest join totals using (host) join recent using (host)""", "requests", "samples"))
+def _(spark, sf):
+    found = rq.current_metrics(
+        samples(spark, sf), requests(spark, sf), ["host"], 100, ["ts", "sample_id"], ["end_time", "request_id"]
+    )
+    return found.select(
+        "host", F.unix_micros("system.ts").alias("ts_us"),
+        F.col("system.memory_usage_mb").cast("double").alias("memory_usage_mb"),
+        "system.cpu_percent", "system.open_files",
+        *[c for c in found.columns if c not in ("host", "system")],
+    )
 
 
 @query("q14_latest_sample", with_views("""

@@ -9,15 +9,17 @@ from shelfscan.operators import retry as rt
 from . import query
 from .views import attempts, micros, with_views
 
+# The policies' own threshold of 5 and three others.
+_BREAKERS = {"default": 5, "network": 2, "rate_limit": 3, "gentle": 1}
 _POLICIES = """
 policies as (select * from (values
   ('default', 3, 1.0::double, 60.0::double, 'exponential', true,
-    ['NetworkException','RateLimitException','ConnectionError','TimeoutError']),
-  ('network', 5, 2.0, 60.0, 'exponential', true, ['NetworkException','ConnectionError','TimeoutError']),
-  ('rate_limit', 3, 30.0, 300.0, 'linear', true, ['RateLimitException']),
+    ['NetworkException','RateLimitException','ConnectionError','TimeoutError'], 5),
+  ('network', 5, 2.0, 60.0, 'exponential', true, ['NetworkException','ConnectionError','TimeoutError'], 2),
+  ('rate_limit', 3, 30.0, 300.0, 'linear', true, ['RateLimitException'], 3),
   ('gentle', 2, 1.0, 10.0, 'fixed', false,
-    ['NetworkException','RateLimitException','ConnectionError','TimeoutError'])
-  ) p(policy, max_attempts, base_delay, max_delay, strategy, jitter, retryable))"""
+    ['NetworkException','RateLimitException','ConnectionError','TimeoutError'], 1)
+  ) p(policy, max_attempts, base_delay, max_delay, strategy, jitter, retryable, breaker))"""
 
 _CIRCUIT = """
 counted as (select *, sum(case when success then 0 else 1 end) over w as failures,
@@ -30,10 +32,14 @@ circuit as (select *, cast(sum(case when success then 0 else 1 end) over
 _ORDER = ["ts", "attempt_id"]
 
 
+def policies(spark):
+    return rt.policy_table(spark, [(*p[:-1], _BREAKERS[p[0]]) for p in rt.POLICIES])
+
+
 @query("t1_retry_verdict", with_views(f"""
 with {_POLICIES}, {_CIRCUIT},
 judged as (select attempt_id, c.policy, exception, attempt,
-  case when success then 'succeeded' when failure_run >= 3 then 'circuit_open'
+  case when success then 'succeeded' when failure_run >= breaker then 'circuit_open'
     when attempt >= max_attempts then 'attempt_limit'
     when exception in ('BlockedException','ValueError','TypeError') then 'non_retryable'
     when list_contains(retryable, exception) then 'retryable'
@@ -42,8 +48,8 @@ judged as (select attempt_id, c.policy, exception, attempt,
   from circuit c join policies p on c.policy = p.policy)
 select *, reason in ('retryable','status_code') as retry from judged""", "attempts"))
 def _(spark, sf):
-    state = rt.circuit_state(attempts(spark, sf), ["call_id"], 3, _ORDER)
-    return rt.retry_verdict(state, rt.policy_table(spark)).select(
+    state = rt.circuit_state(attempts(spark, sf), ["call_id"], policies(spark), _ORDER)
+    return rt.retry_verdict(state, policies(spark)).select(
         "attempt_id", "policy", "exception", "attempt", "reason", "retry"
     )
 
@@ -64,12 +70,13 @@ def _(spark, sf):
 
 
 @query("t3_circuit_state", with_views(f"""
-with {_CIRCUIT}
-select attempt_id, call_id, ts_us, failure_run, failure_run >= 3 as circuit_open from circuit""",
+with {_POLICIES}, {_CIRCUIT}
+select attempt_id, call_id, c.policy, ts_us, failure_run, failure_run >= breaker as circuit_open
+from circuit c join policies p on c.policy = p.policy""",
                                       "attempts"))
 def _(spark, sf):
-    return rt.circuit_state(attempts(spark, sf), ["call_id"], 3, _ORDER).select(
-        "attempt_id", "call_id", micros("ts").alias("ts_us"), "failure_run", "circuit_open"
+    return rt.circuit_state(attempts(spark, sf), ["call_id"], policies(spark), _ORDER).select(
+        "attempt_id", "call_id", "policy", micros("ts").alias("ts_us"), "failure_run", "circuit_open"
     )
 
 
@@ -79,11 +86,11 @@ _PCT = """(case when 2 * ({a} * 10000 - {a} * 10000 // {b} * {b}) > {b} then 1
 
 
 @query("t4_retry_summary", with_views(f"""
-with {_CIRCUIT},
+with {_POLICIES}, {_CIRCUIT},
 calls as (select call_id % 10 as grp, call_id, count(*) as attempts,
     max_by(success, ts_us * 1000000 + attempt_id) as ok,
-    max_by(failure_run >= 2, ts_us * 1000000 + attempt_id) as opened
-  from (select *, ts_us - 1700000000000000 as t from circuit) group by 1, 2),
+    max_by(failure_run >= breaker, ts_us * 1000000 + attempt_id) as opened
+  from (select c.*, breaker, ts_us - 1700000000000000 as t from circuit c join policies p on c.policy = p.policy) group by 1, 2),
 summary as (select grp, cast(sum(attempts) as bigint) as total_attempts,
     count(*) filter (ok and attempts > 1) as successful_retries,
     count(*) filter (not ok) as failed_after_retries,
@@ -93,7 +100,7 @@ select *, {_PCT.format(a="(total_attempts - failed_after_retries)", b="total_att
   {_PCT.format(a="successful_retries", b="total_attempts")} as retry_success_rate_percent
 from summary""".replace("ts_us * 1000000 + attempt_id", "row(t, attempt_id)"), "attempts"))
 def _(spark, sf):
-    state = rt.circuit_state(attempts(spark, sf), ["call_id"], 2, _ORDER)
+    state = rt.circuit_state(attempts(spark, sf), ["call_id"], policies(spark), _ORDER)
     return rt.retry_summary(
         state.withColumn("grp", F.col("call_id") % 10), ["grp"], "call_id", _ORDER
     )

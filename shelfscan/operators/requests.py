@@ -234,17 +234,55 @@ def performance_report(
     now: str | Column,
     minutes: int = 10,
 ) -> DataFrame:
-    """System and request report per key, or an error when one side has no rows."""
+    """System and request report per key, or an error when one side has no rows.
+
+    ``errors`` maps the error types of the period's failed requests to their numbers; it is
+    empty where none failed.
+    """
     system = system_report(samples, now, minutes, by)
     traffic = request_report(requests, now, minutes, by)
-    both = join_keys(system, traffic, by, "full")
+    # One entry for each type of error.
+    errors = errors_by_type(requests.filter(_since("start_time", now, minutes)), by).groupBy(*by).agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("error_type", "errors")))).alias("errors")
+    )
+    both = join_keys(join_keys(system, traffic, by, "full"), errors, by, "left")
     enough = F.col("snapshots_analyzed").isNotNull() & F.col("total_requests").isNotNull()
     values = [c for c in system.columns + traffic.columns if c not in by]
+    none = F.expr("cast(map() as map<string,bigint>)")
     return both.select(
         *by,
         F.lit(minutes).alias("period_minutes"),
         F.when(~enough, F.lit(INSUFFICIENT)).alias("error"),
         *[F.when(enough, F.col(c)).alias(c) for c in values],
+        F.when(enough, F.coalesce("errors", none)).alias("errors"),
+    )
+
+
+def current_metrics(
+    samples: DataFrame,
+    requests: DataFrame,
+    by: Sequence[str],
+    n: int = 100,
+    sample_order: Sequence[str] = ("ts",),
+    request_order: Sequence[str] = ("end_time",),
+) -> DataFrame:
+    """One row per key: newest sample, lifetime totals, and figures of the last ``n`` requests.
+
+    Keys without ended requests have 0 for the latter, keys without samples a null ``system``.
+    """
+    newest = latest_sample(samples, by, sample_order)
+    system = newest.select(*by, F.struct(*[c for c in newest.columns if c not in by]).alias("system"))
+    ended = requests.filter(F.col("end_time").isNotNull())
+    recent = recent_stats(ended, by, n, request_order).drop("requests")
+    joined = join_keys(
+        join_keys(system, request_totals(requests, by), by, "full"), recent, by, "left"
+    )
+    counted = ("total", "successful", "failed", "active_requests", "total_bytes_downloaded")
+    figures = ("success_rate_percent", "avg_response_time_ms", "p95_response_time_ms")
+    return joined.select(
+        *by, "system",
+        *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in counted],
+        *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in figures],
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -39,16 +39,12 @@ def local_session(cores: str | int = "*", partitions: int = 8) -> SparkSession:
 def scratch_folder(spark: SparkSession) -> str:
     """A new folder for written tables, in the shared folder the cluster names.
 
-    Only where ``spark.checkpoint.dir`` is unset, as in tests, it is a temporary one.
+    Where ``spark.checkpoint.dir`` is unset it is a temporary one on a session of one machine,
+    as in tests, and an error on a cluster, whose executors would not see it.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return f"{shared.rstrip('/')}/shelfscan-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     return tempfile.mkdtemp(prefix="shelfscan-")
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Write ``df`` once and read it back: for inputs that a query needs several times."""
-    path = f"{scratch_folder(df.sparkSession)}/table"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

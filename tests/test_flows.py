@@ -9,6 +9,7 @@ from shelfscan.operators import logs as lg
 from shelfscan.operators import products as pr
 from shelfscan.operators import requests as rq
 from shelfscan.operators import results as rs
+from shelfscan.operators import retry as rt
 from shelfscan.sources import readers, writers
 
 
@@ -147,3 +148,25 @@ def test_health_of_an_idle_host(spark):
     assert hl.overall_status(frame, ["host"]).first().overall_status == "critical"
     action = hl.recommended_actions(frame).first()
     assert (action.action, action.cleanup_mode) == ("high_memory", "aggressive")
+
+
+def test_circuit_by_policy(spark):
+    rows = [("c", i, p, False) for i, p in enumerate(["a", "b", "a", None, "x", "a"])]
+    attempts = spark.createDataFrame(rows, "call string, ts int, policy string, success boolean")
+    policies = rt.policy_table(spark, [
+        ("a", 3, 1.0, 1.0, "fixed", False, [], [], [], 3), ("b", 3, 1.0, 1.0, "fixed", False, [], [], [], 1),
+        ("default", 3, 1.0, 1.0, "fixed", False, [], [], [], 5),
+    ])
+    state = rt.circuit_state(attempts, ["call"], policies, ["ts"], bucket=F.floor(F.col("ts") / 2))
+    got = [(r.failure_run, r.circuit_open) for r in state.orderBy("ts").collect()]
+    assert got == [(1, False), (2, True), (3, True), (4, False), (5, False), (6, True)]
+
+
+def test_report_counts_errors(spark):
+    rows = requests(spark)
+    samples = spark.sql("select 'h' host, timestamp_seconds(3) ts, 1D memory_usage_mb, 2D cpu_percent")
+    report = {r.host: r for r in rq.performance_report(samples, rows, ["host"], "1970-01-01 00:05:00").collect()}
+    assert report["h"].errors == {"Unknown": 1} and report["g"].errors is None
+    now = {r.host: r for r in rq.current_metrics(samples, rows, ["host"]).collect()}
+    assert (now["h"].total, now["h"].failed, now["h"].success_rate_percent) == (2, 1, 50.0)
+    assert now["g"].system is None and now["h"].system.cpu_percent == 2.0
