@@ -5,8 +5,9 @@ of random projections) and compares every vector with its neighbours in a window
 Ranks of all passes are found first, on hashes and ids alone. A pair belongs to the first pass
 in which both are in one window, which any task can tell from the ranks that travel with the
 vectors, so links are counted once without ever listing pairs; for the components each block
-sends a spanning forest of its links. The number of passes follows from the size of the largest
-label, so that a pair at the threshold is missed with a chance of at most ``miss``.
+sends a spanning forest of its links. The number of passes follows from how many leading bits
+the windows' vectors share, measured over the sorted hashes of all of them, so that a pair at the
+threshold is missed with a chance of at most ``miss``, also where vectors point one way.
 
 A vector whose window is full of links may have more of them outside. Such crowded vectors are
 compared once more, with all of their component, in pairs of blocks.
@@ -25,6 +26,7 @@ from .components import components
 from .shared import cut, usable
 
 _BITS = 60
+_TRIAL = 3
 
 
 def _hashes(vectors: np.ndarray, passes: int, seed: int) -> np.ndarray:
@@ -37,6 +39,33 @@ def _hashes(vectors: np.ndarray, passes: int, seed: int) -> np.ndarray:
     return out
 
 
+def _keys(distinct: DataFrame, passes: int, seed: int) -> DataFrame:
+    """(id, label, pass, hash, other) of every vector and pass; other is the next pass's hash."""
+
+    def run(batches):
+        for batch in batches:
+            lengths = batch.column(2).value_lengths().to_numpy(zero_copy_only=False)
+            found = np.empty((batch.num_rows, passes), np.int64)
+            for length in np.unique(lengths):
+                at = np.nonzero(lengths == length)[0]
+                found[at] = _hashes(_unit(_matrix(batch.column(2).take(pa.array(at)))), passes, seed)
+            every = pa.array(np.repeat(np.arange(batch.num_rows), passes))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).take(every),
+                    batch.column(1).take(every),
+                    pa.array(np.tile(np.arange(passes, dtype=np.int32), batch.num_rows)),
+                    pa.array(found.reshape(-1)),
+                    pa.array(np.roll(found, -1, axis=1).reshape(-1)),
+                ],
+                names=["id", "label", "pass", "hash", "other"],
+            )
+
+    return distinct.select("id", "label", "vector").mapInArrow(
+        run, "id long, label string, pass int, hash long, other long"
+    )
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     """Vectors as rows of doubles; shorter ones, whose labels differ, are filled with zeros."""
     flat = np.asarray(column.flatten(), np.float64)
@@ -50,11 +79,88 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return out
 
 
-def passes_for(rows: int, threshold: float, window: int, miss: float) -> int:
-    """Passes needed so that a pair at the threshold shares a window with chance 1 - miss."""
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    """Rows of length 1; divided by the largest entry first, so that no square over- or underflows."""
+    vectors = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+
+
+def passes_for(spans: dict[int, int], threshold: float, miss: float) -> int:
+    """Passes needed so that a pair at the threshold is missed with a chance of at most ``miss``.
+
+    ``spans``: number of vectors by how many leading bits hold their window; two vectors that
+    agree in one bit more are in one window, whatever else is.
+    """
+    total = sum(spans.values())
+    if not total:
+        return 2
     same_bit = 1 - math.acos(threshold) / math.pi
-    hit = same_bit ** math.log2(max(2.0, rows / window * 2))
-    return max(2, math.ceil(math.log(miss) / math.log(1 - min(hit, 0.99))))
+    hits = [(min(same_bit ** (bits + 1) if bits >= 0 else 1.0, 0.99), n / total) for bits, n in spans.items()]
+
+    def missed(passes: int) -> float:
+        return sum(part * (1 - hit) ** passes for hit, part in hits)
+
+    most = 2
+    while missed(most) > miss:
+        most *= 2
+    return next(p for p in range(max(2, most // 2), most + 1) if missed(p) <= miss)
+
+
+def _spans(keys: DataFrame, window: int, threshold: float) -> dict[int, int]:
+    """Vectors of sorted passes by the bits that they share with the one ``window`` ranks on.
+
+    -1 stands for labels that end before, and for windows full of links, whose vectors are counted
+    another way: by bits of another hash the last one is as near as the threshold. At most
+    _BITS + 2 rows. Vectors whose window ends in another task's rows are left out, as this only
+    sets the number of passes.
+    """
+    # Bits that two vectors at the threshold may differ in.
+    near = _BITS * math.acos(threshold) / math.pi + 1
+
+    def run(batches):
+        counts: dict[int, int] = {}
+        parts: list[list[np.ndarray]] = [[], [], []]
+        held = 0
+
+        def count():
+            joined = [np.concatenate(p) for p in parts]
+            for bits, n in _agreed(*joined, window, near):
+                counts[bits] = counts.get(bits, 0) + n
+            return [[p[-window:]] for p in joined]
+
+        for batch in batches:
+            for part, column in zip(parts, batch.columns):
+                part.append(column.to_numpy(zero_copy_only=False))
+            held += batch.num_rows
+            if held > 64 * window:
+                parts, held = count(), window
+        if held:
+            count()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(counts), pa.int32()), pa.array(list(counts.values()), pa.int64())],
+            names=["bits", "n"],
+        )
+
+    placed = keys.repartitionByRange("pass", "label", "hash", "id")
+    rows = placed.sortWithinPartitions("pass", "label", "hash", "id").select(
+        F.concat_ws("/", "pass", "label").alias("label"), "hash", "other"
+    )
+    found = rows.mapInArrow(run, "bits int, n long").groupBy("bits").agg(F.sum("n").alias("n"))
+    return {r["bits"]: r["n"] for r in found.collect()}
+
+
+def _agreed(labels: np.ndarray, hashes: np.ndarray, others: np.ndarray, window: int, near: float):
+    """(bits, vectors) of the pairs of rows ``window`` apart; see ``_spans``."""
+    if len(labels) <= window:
+        return []
+    inside = labels[:-window] == labels[window:]
+    inside &= np.bitwise_count(others[:-window] ^ others[window:]) > near
+    apart = (hashes[:-window] ^ hashes[window:])[inside]
+    bits = np.full(len(apart), _BITS)
+    some = apart > 0
+    bits[some] = _BITS - 1 - np.floor(np.log2(apart[some].astype(np.float64))).astype(int)
+    values, n = np.unique(np.append(bits, np.full(int((~inside).sum()), -1)), return_counts=True)
+    return zip(values.tolist(), n.tolist())
 
 
 def _global_ranks(keys: DataFrame) -> DataFrame:
@@ -91,7 +197,7 @@ def _compare(table: pa.Table, block_rows: int, window: int, threshold: float) ->
     order = np.argsort(ranks[:, p], kind="stable")
     ids, ranks = ids[order], ranks[order]
     vectors = _matrix(table.column("vector").combine_chunks())[order]
-    vectors = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    vectors = _unit(vectors)
     labels = np.unique(table.column("label").to_numpy(zero_copy_only=False), return_inverse=True)[1][order]
     weights = table.column("weight").to_numpy()[order]
     block = table.column("block")[0].as_py()
@@ -144,7 +250,7 @@ def _count_all(table: pa.Table, threshold: float) -> pa.Table:
     a, b = table.column("a")[0].as_py(), table.column("b")[0].as_py()
     ids, own = table.column("id").to_numpy(), table.column("own").to_numpy()
     vectors = _matrix(table.column("vector").combine_chunks())
-    vectors = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    vectors = _unit(vectors)
     weights = table.column("weight").to_numpy()
     left, right = np.nonzero(own == a)[0], np.nonzero(own == b)[0]
     counts = np.zeros(len(ids), np.int64)
@@ -224,30 +330,9 @@ def near_duplicates(
         F.min("id").alias("id"), F.count("*").alias("weight"), F.first("vector").alias("vector")
     )
     distinct = cut(alike.dropDuplicates(["id"]))
-    sizes = distinct.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    passes = passes_for(sizes, threshold, window, miss)
-
-    def hashed(batches):
-        for batch in batches:
-            lengths = batch.column(2).value_lengths().to_numpy(zero_copy_only=False)
-            found = np.empty((batch.num_rows, passes), np.int64)
-            for length in np.unique(lengths):
-                at = np.nonzero(lengths == length)[0]
-                found[at] = _hashes(_matrix(batch.column(2).take(pa.array(at))), passes, seed)
-            every = pa.array(np.repeat(np.arange(batch.num_rows), passes))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(every),
-                    batch.column(1).take(every),
-                    pa.array(np.tile(np.arange(passes, dtype=np.int32), batch.num_rows)),
-                    pa.array(found.reshape(-1)),
-                ],
-                names=["id", "label", "pass", "hash"],
-            )
-
-    keys = distinct.select("id", "label", "vector").mapInArrow(
-        hashed, "id long, label string, pass int, hash long"
-    )
+    # How long the windows' common prefixes are is seen in a few passes.
+    passes = passes_for(_spans(_keys(distinct, _TRIAL, seed), window, threshold), threshold, miss)
+    keys = _keys(distinct, passes, seed)
     ranks = (
         _global_ranks(keys)
         .groupBy("id")

@@ -17,17 +17,26 @@ def embeddings(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/embeddings.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for written tables that all executors see."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="llm-test-")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Compute ``df`` once into the shared checkpoint folder and go on from there.
 
-    The folder is the one that ``spark.checkpoint.dir`` names. Only where no folder is set,
-    as in tests on one machine, a temporary one is made. Spark removes checkpoints that are
+    The folder is the one that ``spark.checkpoint.dir`` names. Where no folder is set, a
+    temporary one is made on a session of one machine, as in tests; on a cluster it is an error. Spark removes checkpoints that are
     no longer referenced if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on.
     """
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="llm-test-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

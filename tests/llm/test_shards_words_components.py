@@ -401,3 +401,53 @@ def test_long_spans_and_runs_are_decoded_whole(letters):
     joined = "pl41n-s3nt3nc3-" * 30
     assert evidence(joined) == 0.0 and evidence(joined + "stup1d-" + joined) == alone
     assert len(toxicity._words_in("xxstupidmoronxx", lambda w: float(w in ("stupid", "moron")))) == 2
+
+
+# --- embedding near-duplicates -----------------------------------------------------------
+
+
+def test_vectors_that_point_one_way(spark):
+    """Near pairs among vectors of one label with a mean cosine of 0.8."""
+    from shelfscan.llm import neighbours
+
+    rng = np.random.default_rng(8)
+    n, d = 6000, 64
+    shared = rng.standard_normal(d)
+    shared /= np.linalg.norm(shared)
+    own = rng.standard_normal((n, d))
+    own -= np.outer(own @ shared, shared)
+    own /= np.linalg.norm(own, axis=1, keepdims=True)
+    vectors = np.sqrt(0.8) * shared + np.sqrt(0.2) * own
+    # Each of 300 has one partner at a cosine of about 0.94.
+    near = own[:300] * 0.7 + np.sqrt(1 - 0.49) * own[300:600]
+    vectors = np.vstack([vectors, np.sqrt(0.8) * shared + np.sqrt(0.2) * near])
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(vectors)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4)
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    links = (unit @ unit.T >= 0.93) & ~np.eye(len(unit), dtype=bool)
+    want = links.sum(axis=1)
+    assert want.sum() >= 500
+    got = {r["vec_id"]: r["n_links"] for r in neighbours.near_duplicates(table, window=128, block_rows=512).collect()}
+    found = np.array([got[i] for i in range(len(unit))])
+    assert (found <= want).all() and found.sum() >= 0.95 * want.sum()
+
+
+def test_passes_follow_the_spans():
+    from shelfscan.llm import neighbours
+
+    few = neighbours.passes_for({-1: 100}, 0.93, 0.01)
+    some = neighbours.passes_for({5: 100}, 0.93, 0.01)
+    many = neighbours.passes_for({5: 10, 20: 90}, 0.93, 0.01)
+    assert few == 2 < some < many
+    hit = (1 - np.arccos(0.93) / np.pi) ** 6
+    assert (1 - hit) ** some <= 0.01 < (1 - hit) ** (some - 1)
+
+
+def test_vectors_of_any_length(spark):
+    from shelfscan.llm import neighbours
+
+    base = np.array([1.0, 2.0, 3.0])
+    rows = [(1, base * 1e200), (2, base * 2e200), (3, base * 1e-170), (4, np.array([9.0, 0.1, 0.1])), (5, base * 3e-300)]
+    table = spark.createDataFrame([(i, v.tolist(), 1) for i, v in rows], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in neighbours.near_duplicates(table).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (0, 4), 5: (3, 1)}
