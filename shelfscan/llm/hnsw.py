@@ -3,10 +3,11 @@
 Vectors are dealt to shards by hash; a shard has a bounded number of rows, so the graph of a
 shard is built in one task's memory however many shards there are. A graph is one row of flat
 arrays: vectors, ids, and per layer the members and a fixed number of neighbour positions each.
-Queries meet every shard in blocks, and the shards' results are merged by rank.
+Blocks of queries are sent to every shard, and the shards' results are merged by rank.
 
 Inner products become distances by one more component that gives all vectors of a shard the
-length of its longest. Equal vectors are one node that carries as many of its least ids as a
+length of its longest; shards are kept apart by bands of norms, so that this component does not
+drown the others. Equal vectors are one node that carries as many of its least ids as a
 result can hold, which is all that a search can return of them.
 """
 
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from .shared import cut, usable
 
 _FANOUT = 16
+_TOGETHER = 16
 _INDEX = (
     "shard int, length int, nodes binary, vectors binary, held binary, held_ids binary, "
     "layers array<struct<members: binary, links: binary>>"
@@ -28,10 +30,17 @@ _INDEX = (
 
 
 def _lengthened(vectors: np.ndarray) -> np.ndarray:
-    """One more component, so that all have the norm of the longest."""
-    squares = (vectors.astype(np.float64) ** 2).sum(axis=1)
-    rest = np.sqrt(np.maximum(squares.max() - squares, 0.0))
-    return np.concatenate([vectors, rest[:, None]], axis=1).astype(np.float32)
+    """One more component, so that all are as long as the longest, which is scaled to 1."""
+    vectors = vectors / np.abs(vectors).max()
+    squares = (vectors**2).sum(axis=1)
+    most = squares.max()
+    rest = np.sqrt(np.maximum(most - squares, 0.0))
+    return (np.concatenate([vectors, rest[:, None]], axis=1) / np.sqrt(most)).astype(np.float32)
+
+
+def _directions(queries: np.ndarray) -> np.ndarray:
+    queries = queries / np.abs(queries).max(axis=1, keepdims=True)
+    return queries / np.linalg.norm(queries, axis=1, keepdims=True)
 
 
 def _search(
@@ -194,10 +203,12 @@ def _link_back(space: np.ndarray, links: np.ndarray, nodes: np.ndarray, most: in
 
 
 def search_graph(entry: int, layers, vectors: np.ndarray, queries: np.ndarray, k: int, width: int):
-    """Positions of about the k largest inner products for each query (-1 for none)."""
+    """Positions of about the ``width`` (k at least) largest inner products for each query, -1
+    for none; they are to be ranked by exact products."""
     space = _lengthened(vectors)
     n = len(space)
-    asked = np.concatenate([queries, np.zeros((len(queries), 1))], axis=1).astype(np.float32)
+    asked = _directions(queries)
+    asked = np.concatenate([asked, np.zeros((len(queries), 1))], axis=1).astype(np.float32)
     at = np.full((len(queries), 1), entry)
     for level in range(len(layers) - 1, -1, -1):
         members, links = layers[level]
@@ -205,7 +216,7 @@ def search_graph(entry: int, layers, vectors: np.ndarray, queries: np.ndarray, k
         full[members] = links
         found, _ = _search(space, full, asked, at, max(width, k) if level == 0 else 1)
         at = found[:, :1]
-    return found[:, :k]
+    return found
 
 
 def _shard_row(table: pa.Table, copies: int) -> pa.Table:
@@ -231,13 +242,24 @@ def _shard_row(table: pa.Table, copies: int) -> pa.Table:
     )
 
 
+def _band(vector: str) -> F.Column:
+    """Number of a vector's band of norms: 1/2 to 2 is 0, 2 to 8 is 1; nothing overflows."""
+    largest = F.array_max(F.transform(vector, F.abs))
+    rest = F.aggregate(
+        vector, F.lit(0.0), lambda total, x: total + (x / largest) * (x / largest)
+    )
+    return F.floor((F.log2(largest) + F.log2(rest) / 2) / 2 + 0.5).cast("int")
+
+
 def build_index(
     vectors: DataFrame, id_column: str, vector_column: str, shard_rows: int = 8192, copies: int = 21
 ) -> DataFrame:
     """One row per shard with its graph as flat arrays. Unusable vectors are left out.
 
-    Equal vectors are one node with their ``copies`` least ids; vectors of different lengths are
-    in different shards.
+    Equal vectors are one node with their ``copies`` least ids. Vectors with different numbers of
+    components are in different shards, and so are vectors whose norms differ much: within a shard
+    they differ by a factor of four at most, so that one long vector does not blur the others. Of
+    repeated rows one counts; extra columns are ignored; an empty table gives an empty index.
     """
     good = vectors.select(
         F.col(id_column).cast("long").alias("id"),
@@ -250,56 +272,69 @@ def build_index(
         .filter(F.col("n") <= copies)
         .groupBy("vector")
         .agg(F.sort_array(F.collect_list("id")).alias("ids"))
-        .select("vector", "ids", F.size("vector").alias("length"), F.col("ids")[0].alias("first"))
+        .select(
+            "vector", "ids", F.size("vector").alias("length"), F.col("ids")[0].alias("first"),
+            _band("vector").alias("band"),
+        )
     )
-    # One row per vector length.
-    sizes = {r[0]: r[1] for r in nodes.groupBy("length").count().collect()}
+    # One row per number of components and band of norms, of which doubles have some 500.
+    sizes = sorted((tuple(r[:2]), r[2]) for r in nodes.groupBy("length", "band").count().collect())
     shards, at = F.lit(None).cast("int"), 0
-    for length, n in sorted(sizes.items()):
+    for (length, band), n in sizes:
         count = -(-n // shard_rows)
         own = F.pmod(F.xxhash64("first"), F.lit(count)) + at
-        shards = F.when(F.col("length") == length, own).otherwise(shards)
+        shards = F.when((F.col("length") == length) & (F.col("band") == band), own).otherwise(shards)
         at += count
     return (
         nodes.withColumn("shard", shards.cast("int"))
+        .drop("band")
         .repartitionByRange(max(1, at), "shard")
         .groupBy("shard")
         .applyInArrow(lambda t: _shard_row(t, copies), _INDEX)
     )
 
 
-def _searched(batches, k: int, width: int):
-    """Search rows (block of queries, shard): the k nearest of the shard for each query."""
-    for batch in batches:
-        out = []
-        for row in batch.to_pylist():
-            length = row["length"]
-            asked = np.frombuffer(row["asked"], "<f8").reshape(-1, length)
-            asked_ids = np.frombuffer(row["asked_ids"], "<i8")
-            vectors = np.frombuffer(row["vectors"], "<f8").reshape(-1, length)
-            fan = [(np.frombuffer(x["members"], "<i4"), x["links"]) for x in row["layers"]]
-            layers = [(m, np.frombuffer(x, "<i4").reshape(len(m), -1)) for m, x in fan]
-            entry = int(np.frombuffer(row["nodes"], "<i4")[0])
-            held = np.frombuffer(row["held"], "<i4")
-            ends = np.cumsum(held)
-            held_ids = np.frombuffer(row["held_ids"], "<i8")
-            for at in range(0, len(asked), 512):
-                part, part_ids = asked[at : at + 512], asked_ids[at : at + 512]
-                found = search_graph(entry, layers, vectors, part, k + 1, width)
-                for query, query_id, nodes in zip(part, part_ids, found):
-                    nodes = nodes[nodes >= 0]
-                    scores = vectors[nodes] @ query
-                    ids = np.concatenate([held_ids[ends[x] - held[x] : ends[x]] for x in nodes])
-                    values = np.repeat(scores, held[nodes])
-                    own = ids != query_id
-                    ids, values = ids[own], values[own]
-                    best = np.lexsort((ids, -values))[:k]
-                    out.append((np.full(len(best), query_id), ids[best], values[best]))
-        columns = [np.concatenate(c) for c in zip(*out)] if out else [[], [], []]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())],
-            names=["query_id", "id", "score"],
+def _meet(shard: pa.Table, asked: pa.Table, k: int, width: int) -> pa.Table:
+    """The k nearest of one shard for each query of some blocks."""
+    out = []
+    for row in shard.to_pylist() if asked.num_rows else []:
+        length = row["length"]
+        vectors = np.frombuffer(row["vectors"], "<f8").reshape(-1, length)
+        fan = [(np.frombuffer(x["members"], "<i4"), x["links"]) for x in row["layers"]]
+        layers = [(m, np.frombuffer(x, "<i4").reshape(len(m), -1)) for m, x in fan]
+        entry = int(np.frombuffer(row["nodes"], "<i4")[0])
+        held = np.frombuffer(row["held"], "<i4")
+        ends = np.cumsum(held)
+        held_ids = np.frombuffer(row["held_ids"], "<i8")
+        queries = np.concatenate(
+            [np.frombuffer(x, "<f8").reshape(-1, length) for x in asked.column("asked").to_pylist()]
         )
+        query_ids = np.concatenate([np.frombuffer(x, "<i8") for x in asked.column("asked_ids").to_pylist()])
+        for at in range(0, len(queries), 512):
+            part, part_ids = queries[at : at + 512], query_ids[at : at + 512]
+            found = search_graph(entry, layers, vectors, part, k + 1, width)
+            # All that was found is ranked by exact products; k + 1 nodes hold the k best ids.
+            exact = np.where(found < 0, -np.inf, np.einsum("qkd,qd->qk", vectors[found], part))
+            least = -np.partition(-exact, min(k, exact.shape[1] - 1), axis=1)[:, min(k, exact.shape[1] - 1)]
+            for query_id, nodes, scores, limit in zip(part_ids, found, exact, least):
+                some = (nodes >= 0) & (scores >= limit)
+                nodes, scores = nodes[some], scores[some]
+                if not len(nodes):
+                    continue
+                ids = np.concatenate([held_ids[ends[x] - held[x] : ends[x]] for x in nodes])
+                values = np.repeat(scores, held[nodes])
+                own = ids != query_id
+                ids, values = ids[own], values[own]
+                best = np.lexsort((ids, -values))[:k]
+                out.append((np.full(len(best), query_id), ids[best], values[best]))
+    columns = [np.concatenate(c) for c in zip(*out)] if out else [[], [], []]
+    return pa.table(
+        {
+            "query_id": pa.array(columns[0], pa.int64()),
+            "id": pa.array(columns[1], pa.int64()),
+            "score": pa.array(columns[2], pa.float64()),
+        }
+    )
 
 
 def _query_block(table: pa.Table) -> pa.Table:
@@ -341,9 +376,19 @@ def search(
         .groupBy("length", "block")
         .applyInArrow(_query_block, "length int, block long, asked binary, asked_ids binary")
     )
-    # Every shard meets every block of its length: one row each, spread over the cluster.
-    met = index.join(blocks, "length").repartition(F.col("shard"), F.col("block"))
-    found = met.mapInArrow(lambda b: _searched(b, k, width), "query_id long, id long, score double")
+    # Every shard meets every block of its length. The blocks go to the shards, whose rows are
+    # larger; a shard is copied once for _TOGETHER blocks, so that no task holds more of them.
+    known = index.select(F.col("shard").alias("to"), F.col("length").alias("of_length"))
+    sent = blocks.join(F.broadcast(known), F.col("length") == F.col("of_length")).select(
+        "to", F.expr(f"block div {_TOGETHER}").alias("part"), "asked", "asked_ids"
+    )
+    parts = F.sequence(F.lit(0), F.lit((n - 1) // _TOGETHER)).cast("array<long>")
+    resident = index.withColumn("part", F.explode(parts))
+    found = (
+        resident.groupBy("shard", "part")
+        .cogroup(sent.groupBy("to", "part"))
+        .applyInArrow(lambda a, b: _meet(a, b, k, width), "query_id long, id long, score double")
+    )
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return (
         found.withColumn("rank", F.row_number().over(order))

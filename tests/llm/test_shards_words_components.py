@@ -451,3 +451,35 @@ def test_vectors_of_any_length(spark):
     table = spark.createDataFrame([(i, v.tolist(), 1) for i, v in rows], "vec_id long, embedding array<double>, label int")
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in neighbours.near_duplicates(table).collect()}
     assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (0, 4), 5: (3, 1)}
+
+
+# --- nearest neighbours ------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("factor", [1, 1e4, 1e200])
+def test_nearest_with_one_long_vector_and_many_shards(spark, factor):
+    from shelfscan.llm import hnsw
+
+    rng = np.random.default_rng(6)
+    vectors = rng.standard_normal((1500, 24))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    vectors[700] *= factor
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("shard", F.lit("x"))
+    index = hnsw.build_index(table, "vec_id", "embedding", shard_rows=500)
+    index = hnsw.cut(index)
+    assert index.count() == (3 if factor == 1 else 4)
+    asked = table.filter("vec_id % 20 = 0")
+    got = defaultdict(list)
+    for r in hnsw.search(index, asked, "vec_id", "embedding", k=20, block_rows=4).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["id"])
+        assert r["score"] == pytest.approx(vectors[r["query_id"]] @ vectors[r["id"]], rel=1e-9)
+    hits = 0
+    for q in range(0, 1500, 20):
+        scores = vectors @ vectors[q]
+        scores[q] = -np.inf
+        hits += len(set(np.argsort(-scores, kind="stable")[:20]) & set(got[q]))
+        assert len(got[q]) == 20
+    assert hits >= 0.95 * 75 * 20
+    none = asked.limit(0)
+    assert hnsw.search(index, none, "vec_id", "embedding").count() == 0
