@@ -20,7 +20,10 @@ _LINES = """array(
   if(o_orderkey % 4 = 1, null, concat(t, ' - src.main - INFO - Página ', o_orderkey % 10 + 1, ': ', o_custkey % 50, ' produtos extraídos')),
   if(o_orderkey % 17 = 0, 'Traceback (most recent call last):', null),
   if(o_orderkey % 19 = 0, concat(t, ' - src.utils - WARNING - Tempo de espera'), null),
-  if(o_orderkey % 70 = 39, concat(t, ' - src.utils - ERROR - Erro na execução: ', o_orderstatus), null))"""
+  if(o_orderkey % 70 = 39, concat(t, ' - src.utils - ERROR - Erro na execução: ', o_orderstatus), null),
+  if(o_orderkey % 70 = 39, 'Traceback (most recent call last):', null),
+  if(o_orderkey % 70 = 39, '  File "run.py", line 7, in visit', null),
+  if(o_orderkey % 70 = 39, if(o_orderkey % 2 = 0, 'ValueError', 'net.errors.ConnectionError: demorou'), null))"""
 
 
 def log_lines(spark, sf):
@@ -56,7 +59,9 @@ lines as (
   union all select file, o_orderkey * 10 + 5, ts, 'src.utils', 'WARNING', 'Tempo de espera', null, null, null, null
     from raw_lines where o_orderkey % 19 = 0
   union all select file, o_orderkey * 10 + 6, ts, 'src.utils', 'ERROR', concat('Erro na execução: ', o_orderstatus),
-    null, null, null, null from raw_lines where o_orderkey % 70 = 39),
+    null, null, null, null from raw_lines where o_orderkey % 70 = 39
+  union all select file, o_orderkey * 10 + i, null, null, null, null, null, null, null, null
+    from raw_lines, generate_series(7, 9) s(i) where o_orderkey % 70 = 39),
 run_lines as (select *, cast(sum(case when message like 'Iniciando busca%' then 1 else 0 end) over
     (partition by file order by line rows unbounded preceding) as bigint) as run from lines)"""
 
@@ -165,11 +170,13 @@ def _(spark, sf):
 
 @query("l4_log_errors", f"""
 with {_LINES_SQL}
-select file, level, case when level = 'ERROR' then 'Erro na execução:' else 'Tempo de espera' end as error,
+select file, level, case when level = 'WARNING' then 'Tempo de espera'
+    when line // 10 % 2 = 0 then 'ValueError' else 'ConnectionError' end as error,
   count(*) as records, epoch_us(min(ts)) as first_us, epoch_us(max(ts)) as last_us
 from lines where level in ('WARNING', 'ERROR') group by 1, 2, 3""")
 def _(spark, sf):
-    digest = lg.log_errors(readers.parse_run_log(log_lines(spark, sf)), ["file"], "WARNING")
+    records = lg.whole_records(readers.parse_run_log(log_lines(spark, sf)))
+    digest = lg.log_errors(records, ["file"], "WARNING")
     return digest.withColumns({"first_us": micros("first_seen"), "last_us": micros("last_seen")}).drop(
         "first_seen", "last_seen"
     )

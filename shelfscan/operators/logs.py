@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import running_sums
+from .ordered import carry_forward, running_sums
 
 # Level order and the message forms of a run.
 LEVELS = {"DEBUG": 10, "INFO": 20, "WARNING": 30, "ERROR": 40, "CRITICAL": 50}
@@ -16,6 +16,8 @@ RUN_TERM = r"^(?:Iniciando busca por: |Starting search for: |Starting crawling:
 PAGE_LAYOUT = r"^(?:Página|Page) (\d+): (?:Layout detectado|Layout detected): (\S+)"
 PAGE_CONTAINERS = r"^(?:Página|Page) (\d+): (\d+) (?:containers encontrados|containers found)"
 PAGE_PRODUCTS = r"^(?:Página|Page) (\d+): (\d+) (?:produtos extraídos|products extracted)"
+# The last line of a traceback: the exception's class, perhaps its module and message.
+RAISED = r"^(?:[A-Za-z_]\w*\.)*([A-Za-z_]\w*)(?:: (.*))?$"
 HEAD = r"^((?:\S+\s+){0,2}\S+)"
 
 
@@ -44,6 +46,38 @@ def with_run(
     return running_sums(logs, [file], F.col(bucket), list(order), {"run": start})
 
 
+def whole_records(
+    logs: DataFrame, file: str = "file", bucket: str = "block", order: Sequence[str] = ("line",),
+    value: str = "value",
+) -> DataFrame:
+    """One row per log record: its first line's columns, and what the lines after it tell.
+
+    Lines without a level belong to the record before them in their file, also in another split;
+    those before a file's first record make a row without a level. Adds ``more_lines`` (how many)
+    and ``exception`` (type, message), read from the last line that names one; null without. Of a
+    record's lines only counts and that one line are ever gathered.
+    """
+    place = F.struct(bucket, *order)
+    marked = logs.withColumn("_record", F.when(F.col("level").isNotNull(), place))
+    carried = carry_forward(marked, [file], F.col(bucket), list(order), "_record")
+    columns = [c for c in logs.columns if c != file]
+    first = F.col("level").isNotNull()
+    named = ~first & F.col(value).rlike(RAISED)
+    raised = F.struct(
+        F.regexp_extract(value, RAISED, 1).alias("type"),
+        F.nullif(F.regexp_extract(value, RAISED, 2), F.lit("")).alias("message"),
+    )
+    return (
+        carried.groupBy(file, "_record")
+        .agg(
+            F.max(F.when(first, F.struct(*columns))).alias("_first"),
+            F.count_if(~first).alias("more_lines"),
+            F.max_by(F.when(named, raised), F.when(named, place)).alias("exception"),
+        )
+        .select(file, "_first.*", "more_lines", "exception")
+    )
+
+
 def log_page_stats(
     runs: DataFrame, by: Sequence[str] = ("file", "run")
 ) -> DataFrame:

@@ -101,6 +101,35 @@ def test_run_log(spark, tmp_path):
     assert lg.at_least(logs, "error").count() == 1
 
 
+def test_records_go_on_over_lines_and_splits(spark, tmp_path):
+    lines = ["stray", "ValueError: before any record"]
+    for i in range(40):
+        lines.append(f"2025-09-18 11:19:{i:02} - app - {'ERROR' if i % 4 == 0 else 'INFO'} - step {i} of the run")
+        if i % 4 == 0:
+            lines += ["Traceback (most recent call last):", '  File "a.py", line 3, in go', "    go()", "KeyError: 'first'", "",
+                      "During handling of the above exception, another exception occurred:", "",
+                      f"app.errors.Late{i % 8}: waited" if i % 3 else "TimeoutError", "    "]
+    (tmp_path / "a.log").write_text("\n".join(lines), encoding="utf-8")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        found = readers.read_log_records(spark, str(tmp_path))
+        rows = found.orderBy("block", "line").collect()
+        errors = {(r.error, r.records) for r in lg.log_errors(found).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len({r.block for r in rows}) > 5
+    assert rows[0].level is None and rows[0].more_lines == 2 and rows[0].exception.type == "ValueError"
+    records = sorted(rows[1:], key=lambda r: r.ts)
+    assert [r.message for r in records] == [f"step {i} of the run" for i in range(40)]
+    for i, r in enumerate(records):
+        if i % 4:
+            assert (r.more_lines, r.exception) == (0, None)
+        else:
+            want = (f"Late{i % 8}", "waited") if i % 3 else ("TimeoutError", None)
+            assert r.more_lines == 9 and tuple(r.exception) == want
+    assert errors == {("TimeoutError", 4), ("Late4", 3), ("Late0", 3)}
+
+
 def test_html_files_as_pages(spark, tmp_path):
     (tmp_path / "p.html").write_text("<p>\nhi\n</p>", encoding="utf-8")
     row = readers.read_pages(spark, str(tmp_path), "text").first()
