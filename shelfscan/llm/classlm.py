@@ -268,7 +268,9 @@ def score(docs: DataFrame, model: ClassModel) -> DataFrame:
     """(doc_id, n_tokens, n_known, base_score, score), one row for each row of ``docs``.
 
     ``base_score`` is the smoothed unigram log10 probability, ``score`` the class model's.
-    Null text is empty (one token, the end); null and repeated doc_ids keep their rows.
+    Null text is empty (one token, the end); null and repeated doc_ids keep their rows. Texts of
+    any length are scored whole, in the memory of one task; other columns, whatever their names,
+    are ignored. Without training tokens every known count is 0.
     """
     common = {w: float(np.log10(c + 0.5)) for w, c in model.common.items()}
     units, classes = model.units, model.classes

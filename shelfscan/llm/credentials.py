@@ -114,7 +114,9 @@ def find_secrets(
     Every base span is returned with its verdict; opaque spans only where they look live.
     ``repository`` and ``owner`` are SQL expressions over ``docs``; a pair repositories counts
     once per owner, nulls count as none. Null text is empty. Rows with equal or null doc_id are
-    separate documents. An empty table gives an empty result.
+    separate documents. Texts of any length are searched whole, in the memory of one task; columns
+    beside those of the expressions, whatever their names, are ignored. An empty table gives an
+    empty result.
     """
     parsed = cut(
         candidates(
