@@ -9,6 +9,7 @@ from shelfscan.operators import pages as pg
 from shelfscan.operators.elements import page_elements
 from shelfscan.operators.products import card_identity
 from shelfscan.plans import search as sp
+from shelfscan.plans.sql import register_pages
 
 from . import query
 from .rendered import id_pages, listing_pages
@@ -108,7 +109,16 @@ def _(spark, sf):
     )
 
 
-@query("p6_extract_all", with_views("""
+def all_pages(spark, sf):
+    """Pages of both platforms, and the given pages as those of a platform without an extractor."""
+    foreign = table(spark, sf, "pages").select(
+        F.lit("shopee").alias("platform"), F.col("url").alias("search_term"),
+        F.lit(1).alias("page_number"), "html",
+    )
+    return listing_pages(spark, sf).unionByName(id_pages(spark, sf)).unionByName(foreign)
+
+
+_EXTRACTED = """
 select platform, search_term, page_number, position_on_page, title, coalesce(price, 'N/A') as price, null as error_type from listing_products
 union all select platform, search_term, page_number, position_on_page, title, coalesce(price, 'N/A'), null from id_products
 union all select 'shopee', url, 1, 0,
@@ -118,15 +128,12 @@ union all select platform, search_term, page_number, 0, 'No content received fro
     union all select platform, search_term, page_number, o_orderkey from id_pages) where o_orderkey % 20 = 0
 union all select platform, search_term, page_number, 0, concat('HTML vazio ou inválido na página ', page_number), 'N/A', 'ValidationException'
   from listing_pages where o_orderkey % 20 = 10
-union all select platform, search_term, page_number, 0, 'Blocking detected', 'N/A', 'BlockedException' from id_pages where blocked""",
-                                    "listing_products", "id_products"))
+union all select platform, search_term, page_number, 0, 'Blocking detected', 'N/A', 'BlockedException' from id_pages where blocked"""
+
+
+@query("p6_extract_all", with_views(_EXTRACTED, "listing_products", "id_products"))
 def _(spark, sf):
-    foreign = table(spark, sf, "pages").select(
-        F.lit("shopee").alias("platform"), F.col("url").alias("search_term"),
-        F.lit(1).alias("page_number"), "html",
-    )
-    pages = listing_pages(spark, sf).unionByName(id_pages(spark, sf)).unionByName(foreign)
-    products, rejected = sp.extract_all(pages)
+    products, rejected = sp.extract_all(all_pages(spark, sf))
     columns = ["platform", "search_term", "page_number", "position_on_page", "title", "price"]
     return products.select(*columns, F.lit(None).cast("string").alias("error_type")).unionByName(
         rejected.select(
@@ -134,3 +141,13 @@ def _(spark, sf):
             F.col("error_message").alias("title"), F.lit("N/A").alias("price"), "error_type",
         )
     )
+
+
+@query("p7_extract_in_sql", with_views(_EXTRACTED, "listing_products", "id_products"))
+def _(spark, sf):
+    register_pages(all_pages(spark, sf), "captured")
+    return spark.sql("""
+        SELECT platform, search_term, page_number, position_on_page, title, price, CAST(NULL AS STRING) AS error_type
+        FROM captured_products
+        UNION ALL
+        SELECT platform, search_term, page_number, 0, error_message, 'N/A', error_type FROM captured_rejected""")

@@ -172,6 +172,12 @@ def _parse(html: str | None) -> tuple[_Elements, str | None]:
     return page, None
 
 
+def parsed_elements(html: str | None) -> tuple[list, str]:
+    """(end, depth, tag, attrs, text_at, text_len, classes) of every element, and the page's text."""
+    page, _ = _parse(html)
+    return page.rows, "".join(page.stripped)
+
+
 def _offsets(lengths: list[int]) -> pa.Array:
     total, values = 0, [0]
     for n in lengths:
