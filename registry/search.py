@@ -13,7 +13,7 @@ from shelfscan.plans.sql import register_pages
 
 from . import query
 from .rendered import id_pages, listing_pages
-from .tables import table
+from .tables import scratch, table
 from .views import with_views
 
 _TERM = "concat(c_mktsegment, ' ã/*~%+&é ', c_custkey)"
@@ -100,6 +100,10 @@ def _(spark, sf):
     stats = pg.extraction_stats(
         cards, ["search_term", "page_number", "blocked", "failed"], item.isNotNull() & title.isNotNull()
     ).withColumnRenamed("successful_extractions", "products")
+    # both policies read these rows twice: pages are parsed once for all of them
+    path = f"{scratch(spark)}/stats"
+    stats.write.parquet(path)
+    stats = spark.read.parquet(path)
     kept = [
         sp.until_first_gap(stats, ["search_term"], policy).withColumn("policy", F.lit(policy))
         for policy in ("abort", "skip")
