@@ -1,8 +1,11 @@
 """Tokenizer, selectors and card extraction on small pages."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from shelfscan.operators import elements as el
 from shelfscan.operators import pages as pg
 from shelfscan.operators import products as pr
 from shelfscan.operators.elements import page_elements
@@ -280,3 +283,65 @@ def test_page_stage_does_not_shuffle(spark):
     products = pr.listing_products(pg.product_cards(parsed(spark, SHELF)))
     plan = products._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and plan.count("MapInArrow") == 1
+
+
+MARKUP = [
+    "<div>", "</div>", '<p class="a  b">', "</p>", "<br>", "<br/>", '<img src="x&amp;y" alt="q"/>', "<a href=x>", "</a>",
+    "text", "a &amp; b", " \n ", "&copy", "<!-- c -->", "<!-- a > b -->", "<!-->", "<script>var a = '<li></p>';</script>",
+    "<style>p{}</style>", "<title>t &amp; u</title>", "<title>t<b>u</b></title>", "<template>", "</template>", "< b", "<",
+    "<textarea><b></textarea>", "<!DOCTYPE html>", "<?php x ?>", '<A HREF="Q" Class="Z z">', "<script>", "<svg/>", "</script>",
+]
+
+
+def test_plain_markup_reads_as_the_standard_parser_does():
+    rng, plain = random.Random(3), 0
+    for _ in range(4000):
+        html = "".join(rng.choices(MARKUP, k=rng.randint(1, 6)))
+        standard = el._Elements()
+        standard.feed(html)
+        standard.finish()
+        page, error = el._parse(html)
+        assert error is None
+        assert (page.rows, page.stripped, page.raw) == (standard.rows, standard.stripped, standard.raw), html
+        plain += el._Elements().read_plain(html)
+    assert plain > 400
+
+
+def test_a_rendered_page_is_plain_markup(spark):
+    from registry.rendered import id_pages_of, listing_pages_of
+
+    orders = spark.createDataFrame(
+        [(k, 7, 1234.5 + k, "2-HIGH") for k in range(1, 60)],
+        "o_orderkey long, o_custkey long, o_totalprice double, o_orderpriority string",
+    )
+    for pages in (listing_pages_of(orders), id_pages_of(orders)):
+        assert all(el._Elements().read_plain(r.html or "") for r in pages.select("html").collect())
+
+
+def test_uneven_files_are_dealt_evenly(spark, tmp_path, monkeypatch):
+    from registry import tables
+
+    monkeypatch.setattr(tables, "_ROWS_PER_TASK", 100)
+    for name, rows in (("a", 3000), ("b", 1), ("c", 1), ("d", 1)):
+        spark.range(rows).coalesce(1).write.parquet(f"{tmp_path}/t/{name}.parquet")
+    many = spark.read.option("recursiveFileLookup", True).parquet(f"{tmp_path}/t").repartition(64, F.lit(1))
+    sizes = [len(part) for part in tables.spread(many).rdd.glom().collect()]
+    assert len(sizes) >= 31 and max(sizes) <= 110 and sum(sizes) == 3003
+
+
+def test_a_filter_on_cards_does_not_make_them_again(spark):
+    cards = pg.id_cards(parsed(spark, "<div class='s-main-slot'></div>"))
+    plan = pr.id_products(cards)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("filter(elements") <= 3 and "Filter (size(" not in plan
+
+
+def test_rejected_pages_need_no_cards(spark):
+    pages = spark.createDataFrame(
+        [("amazon", "t", 1, "<p>x</p>"), ("amazon", "t", 2, "<![x["), ("mercadolivre", "t", 3, "<![x["), ("x", "t", 4, "")],
+        "platform string, search_term string, page_number int, html string",
+    )
+    rejected = sp.extract_all(pages)[1]
+    assert "posexplode" not in rejected._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.page_number, r.error_type) for r in rejected.collect()) == [
+        (2, "ValueError"), (3, "ParsingException"), (4, "ValueError"),
+    ]
