@@ -234,6 +234,46 @@ def test_passages_with_other_holders(spark):
     assert at[82, 81]["equal_words"] == 900
 
 
+def test_passages_between_the_first_and_the_last_holder(spark):
+    """Pieces of a passage stand in documents before, between and behind two that share all of it."""
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(90_000)]
+
+    def fill(n):
+        return rng.choice(words, n).tolist()
+
+    shared = fill(60)
+    pieces = [shared[at : at + 24] for at in range(0, 37, 6)]
+    rows = []
+    for _ in range(3):
+        rows += [[*fill(50), *piece, *fill(50)] for piece in pieces]
+        rows.append([*fill(40), *shared, *fill(45)])
+    wanted = {(15, 7), (23, 7), (23, 15)}
+    table = [(i, " ".join(r)) for i, r in enumerate(rows)] + [(30, " ".join(rows[23])), (31, " ".join(rows[23]))]
+    found = passages.shared_passages(spark.createDataFrame(table, "doc_id long, text string")).collect()
+    at = {(r["doc_id"], r["other_id"]): r for r in found}
+    assert {p for p, r in at.items() if r["equal_words"] == 60} == wanted
+    # Copies have one row, to the document that stands for them.
+    assert {p for p in at if max(p) > 23} == {(30, 23), (31, 23)}
+    assert at[31, 23]["end"] == at[31, 23]["equal_words"] == 145
+
+
+def test_frequent_seeds_by_blocks(spark):
+    """Blocks of a seed's contexts give the matches that one group gives."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(40):
+        own = np.arange(80) + 1000 * (i % 4)
+        own[rng.choice(80, 30, replace=False)] = rng.integers(10_000, 60_000, 30)
+        rows.append((5, i, 0, bytearray(np.unique(own).astype(np.uint16).tobytes())))
+    rows += [(5, 100 + i, 0, rows[i][3]) for i in range(3)] + [(6, 200, 0, rows[0][3]), (6, 201, 0, rows[0][3])]
+    found = spark.createDataFrame(rows, "seed long, doc long, place int, context binary")
+    one, many = ({tuple(r) for r in passages.links(found, 20, block).collect()} for block in (1000, 7))
+    assert one == many
+    close = {(i, j) for i in range(40) for j in range(i) if i % 4 == j % 4}
+    assert {(r[0], r[2]) for r in one} == close | {(100, 0), (101, 1), (102, 2), (201, 200)}
+
+
 def test_passages_beyond_the_flank(spark):
     """A chain whose texts agree up to the end of the slices is given back to be looked at further."""
     text = " ".join(f"w{i}" for i in range(2000))
