@@ -345,3 +345,23 @@ def test_rejected_pages_need_no_cards(spark):
     assert sorted((r.page_number, r.error_type) for r in rejected.collect()) == [
         (2, "ValueError"), (3, "ParsingException"), (4, "ValueError"),
     ]
+
+
+def test_tags_are_kept_after_many_different_ones(monkeypatch):
+    """Tags of one page each do not shut out those that all later pages repeat."""
+    from shelfscan.operators import elements
+
+    monkeypatch.setattr(elements, "_KNOWN_LIMIT", 50)
+    monkeypatch.setattr(elements, "_PLAIN", {})
+    monkeypatch.setattr(elements, "_KNOWN_TAGS", {})
+    for i in range(500):
+        assert elements.parsed_elements(f'<p class="early"><a href="/{i}">x</a></p>')[1] == "x"
+    for _ in range(2):
+        rows, text = elements.parsed_elements('<b class="late">y</b>')
+        assert (rows[0][2], rows[0][6], text) == ("b", ["late"], "y")
+    assert '<b class="late">' in elements._PLAIN and len(elements._PLAIN) <= 50
+    broken = '<p class="early"><a href="/{}">x</p><i title=bare>y'
+    for i in range(500):
+        elements.parsed_elements(broken.format(i))
+    elements.parsed_elements('<u class="late">y</u> < <i title=bare>')
+    assert len(elements._KNOWN_TAGS) <= 50 and '<u class="late">' in elements._KNOWN_TAGS
