@@ -365,3 +365,16 @@ def test_tags_are_kept_after_many_different_ones(monkeypatch):
         elements.parsed_elements(broken.format(i))
     elements.parsed_elements('<u class="late">y</u> < <i title=bare>')
     assert len(elements._KNOWN_TAGS) <= 50 and '<u class="late">' in elements._KNOWN_TAGS
+
+
+def test_checks_of_whole_pages_replace_nothing_and_try_no_alternatives(spark):
+    pages = spark.createDataFrame([("amazon", 1, "x")], "platform string, page_number int, html string")
+    plan = sp.page_errors(pages)._jdf.queryExecution().analyzed().toString()
+    assert "regexp_replace" not in plan and plan.count("RLIKE") == 1
+    assert all(f"{word})" in plan for word in R.BLOCK_PHRASES["amazon"])
+
+
+def test_blank_is_nothing_but_unicode_spaces(spark):
+    htmls = [None, "", " \t\r\n\u00a0\u2003", "\u200b", " x\n", "\n<"]
+    df = spark.createDataFrame([(i, h) for i, h in enumerate(htmls)], "i int, html string")
+    assert [r[0] for r in df.orderBy("i").select(pg.is_blank()).collect()] == [True, True, True, False, False, False]

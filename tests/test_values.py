@@ -1,5 +1,6 @@
 """Single values: prices, links, texts, addresses."""
 
+import re
 import string
 from decimal import Decimal
 from urllib.parse import quote
@@ -131,3 +132,18 @@ def test_discount(spark):
     df = spark.createDataFrame([(75, 100), (100, 100), (0, 100), (2, 3), (None, 3), (799, 800)], "p long, o long")
     got = [r[0] for r in df.select(text.discount_pct(F.col("p"), F.col("o"))).collect()]
     assert got == [25.0, None, None, 33.33, None, 0.12]
+
+
+def test_strip_removes_every_unicode_space_and_no_other(spark):
+    spaces = [chr(i) for i in range(0x3001) if re.fullmatch(r"\s", chr(i)) and not 0x1C <= i <= 0x1F]
+    others = ["\x1c", "\u200b", "\u180e", "\ufeff"]
+    given = [None, "", *spaces, *(f"{s}\n a{s}b {s}" for s in spaces), *(f" {o}a{o} " for o in others)]
+    expected = [None, "", *("" for _ in spaces), *(f"a{s}b" for s in spaces), *(f"{o}a{o}" for o in others)]
+    assert column(spark, given, text.strip) == expected
+
+
+def test_contains_any(spark):
+    words = ["a.b", "por: x", "por:", "(", "até"]
+    given = [None, "", "a.b", "axb", "por", "por: y", "1 (", "ATÉ", "xaté"]
+    expected = [None, False, True, False, False, True, True, False, True]
+    assert column(spark, given, lambda c: text.contains_any(c, words)) == expected
