@@ -8,7 +8,7 @@ from shelfscan.operators import logs as lg
 from shelfscan.sources import readers
 
 from . import query
-from .tables import scratch, table
+from .tables import scratch, table, tasks
 from .views import attempts, micros, requests, samples, with_views
 
 # One run per ten orders, one page per order; some lines belong to no layout.
@@ -71,12 +71,13 @@ with {_LINES_SQL}
 select file, run, epoch_us(ts) as ts_us, logger, level, message from run_lines""")
 def _(spark, sf):
     path = f"{scratch(spark)}/logs"
+    parts = tasks(table(spark, sf, "orders"))
     (
-        log_lines(spark, sf).repartition("file").sortWithinPartitions("file", "line")
+        log_lines(spark, sf).repartition(parts, "file").sortWithinPartitions("file", "line")
         .select("file", "value").write.partitionBy("file").text(path)
     )
     parsed = readers.read_run_log(spark, path)
-    return lg.with_run(parsed).select(
+    return lg.with_run(parsed, partitions=parts).select(
         F.regexp_extract("file", "file=([^/]+)", 1).alias("file"), "run", micros("ts").alias("ts_us"),
         "logger", "level", "message",
     )
@@ -136,7 +137,8 @@ def _(spark, sf):
 
 
 def parsed_runs(spark, sf):
-    return lg.with_run(readers.parse_run_log(log_lines(spark, sf)))
+    lines = readers.parse_run_log(log_lines(spark, sf))
+    return lg.with_run(lines, partitions=tasks(table(spark, sf, "orders")))
 
 
 @query("l1_at_least", f"""

@@ -36,14 +36,16 @@ def _number(pattern: str, group: int) -> Column:
 
 
 def with_run(
-    logs: DataFrame, file: str = "file", bucket: str = "block", order: Sequence[str] = ("line",)
+    logs: DataFrame, file: str = "file", bucket: str = "block", order: Sequence[str] = ("line",),
+    partitions: int | None = None,
 ) -> DataFrame:
     """Number the runs of each file; lines before the first start belong to run 0.
 
-    ``bucket`` (a file split) bounds what one task orders.
+    ``bucket`` (a file split) bounds what one task orders of a file, ``partitions`` how many tasks
+    share the splits.
     """
     start = F.when(F.col("message").rlike(RUN_START), 1).otherwise(0)
-    return running_sums(logs, [file], F.col(bucket), list(order), {"run": start})
+    return running_sums(logs, [file], F.col(bucket), list(order), {"run": start}, partitions)
 
 
 def whole_records(

@@ -111,3 +111,19 @@ def test_alerts_are_greedy(table, rows, chunk_gaps):
                 last = r[2]
                 want.append((str(key), last))
     assert got == sorted(want)
+
+
+def test_tasks_that_order_a_log_grow_with_its_rows(spark, tmp_path, monkeypatch):
+    """As many tasks as the session has, for any number of lines, each held ever more of them."""
+    import registry
+    from registry import tables
+
+    registry.load_all()
+    monkeypatch.setattr(tables, "_ROWS_PER_TASK", 50)
+    spark.range(2000).selectExpr(
+        "id as o_orderkey", "id % 100 as o_custkey", "'F' as o_orderstatus"
+    ).write.parquet(f"{tmp_path}/orders.parquet")
+    rows = registry.QUERIES["s3_read_run_log"](spark, str(tmp_path))
+    assert rows.rdd.getNumPartitions() == 40
+    runs = rows.groupBy("file").agg(F.max("run").alias("last"), F.countDistinct("run").alias("n"))
+    assert sorted(map(tuple, runs.collect())) == [("run_0", 100, 100), ("run_1", 100, 100)]
