@@ -378,3 +378,15 @@ def test_blank_is_nothing_but_unicode_spaces(spark):
     htmls = [None, "", " \t\r\n\u00a0\u2003", "\u200b", " x\n", "\n<"]
     df = spark.createDataFrame([(i, h) for i, h in enumerate(htmls)], "i int, html string")
     assert [r[0] for r in df.orderBy("i").select(pg.is_blank()).collect()] == [True, True, True, False, False, False]
+
+
+def test_tags_that_differ_in_values_are_read_by_one_shape(monkeypatch):
+    """Addresses and item ids make most tags of a page unlike any other's; their form is read once."""
+    monkeypatch.setattr(el, "_PLAIN", {})
+    monkeypatch.setattr(el, "_SHAPES", {})
+    for i in range(100):
+        rows, _ = el.parsed_elements(f'<a HREF="/{i}?a&amp;b" class=" k{i}  m"></a><img src="{i}.png"/>')
+        assert [(r[2], r[3], r[6]) for r in rows] == [
+            ("a", {"href": f"/{i}?a&b", "class": f"k{i} m"}, [f"k{i}", "m"]), ("img", {"src": f"{i}.png"}, []),
+        ]
+    assert {k for k, v in el._SHAPES.items() if v} == {'<a HREF=" class=">', '<img src="/>'}
