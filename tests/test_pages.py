@@ -390,3 +390,58 @@ def test_tags_that_differ_in_values_are_read_by_one_shape(monkeypatch):
             ("a", {"href": f"/{i}?a&b", "class": f"k{i} m"}, [f"k{i}", "m"]), ("img", {"src": f"{i}.png"}, []),
         ]
     assert {k for k, v in el._SHAPES.items() if v} == {'<a HREF=" class=">', '<img src="/>'}
+
+
+def test_pages_read_together_are_as_read_one_by_one():
+    rng, nested = random.Random(5), 0
+    for k in range(200):
+        pages = ["".join(rng.choices(MARKUP, k=rng.randint(0, 9))) for _ in range(rng.randint(0, 40))]
+        pages = [f'<div><p class="a">{p}</p></div>' if k % 3 else p for p in pages] + [None]
+        one = [el._parse(p) for p in pages]
+        want = [
+            el._element_arrays([p for p, _ in one]).to_pylist(), ["".join(p.stripped) for p, _ in one],
+            [e for _, e in one], ["".join(p.raw) for p, _ in one],
+        ]
+        assert [c.to_pylist() for c in el._read(pages, True)] == want
+        assert el._errors(pages) == want[2]
+        nested += int(el._read_nested(pages, False)[0].sum())
+    assert nested > 500
+
+
+def test_marks_say_what_a_rule_says(spark):
+    """A mark is set where names, classes and attributes fit, and nowhere else."""
+    from shelfscan.operators import marks
+
+    words = sorted({w for c in marks.NUMBERS for k, w, _, v in marks.parts(c) for w in ([w, v] if v else [w])})
+    tags = [p[0][1] for p in map(marks.parts, marks.NUMBERS) if p[0][0] == "tag"]
+    rng = random.Random(7)
+    html = "".join(
+        f'<{rng.choice(tags)} {rng.choice(["href", "src", "data-src", "title", "data-a-strike"])}="{rng.choice(["true", "http://x.mlstatic/dp/1", "s-search-result"])}"'
+        f' data-component-type="s-search-result" class="{rng.choice(words)} {rng.choice(words)} {rng.choice(words)}">t'
+        for _ in range(700)
+    )
+    page = parsed(spark, html)
+
+    def plain(compound):
+        parts = [f"e.tag = '{n}'" if k == "tag" else f"array_contains(e.classes, '{n}')" if k == "cls"
+                 else f"NOT array_contains(e.classes, '{n}')" if k == "without"
+                 else f"e.attrs['{n}'] IS NOT NULL" if not op
+                 else f"e.attrs['{n}'] = '{v}'" if op == "=" else f"contains(e.attrs['{n}'], '{v}')"
+                 for k, n, op, v in marks.parts(compound)]
+        return " AND ".join(parts)
+
+    same = [
+        f"transform(elements, e -> coalesce({plain(c)}, false)) = transform(elements, e -> (e.{marks.bit(c)[0]} & {marks.bit(c)[1]}L) != 0)"
+        for c in marks.NUMBERS
+    ]
+    hits = [f"exists(elements, e -> {plain(c)})" for c in marks.NUMBERS]
+    got, found = page.selectExpr(f"array({', '.join(same)}) s", f"array({', '.join(hits)}) h").first()
+    assert all(got) and sum(map(bool, found)) > 60
+
+
+def test_rules_filter_by_marks_and_ancestors_are_looked_for_among_few_elements(spark):
+    cards = pg.id_cards(parsed(spark, "<div class='s-main-slot'></div>"))
+    plan = pr.id_products(cards)._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_join" not in plan
+    assert plan.count("marks_") > plan.count("array_contains") + plan.count(".tag")
+    assert "filter(_shallow" in plan and "depth" in plan
